@@ -18,6 +18,7 @@ from lupafiscal.schemas import (
     SCHEMAS,
     TEXT_LENGTHS,
     UNIQUE_COLUMNS,
+    ForeignKey,
     money_columns,
     required_columns,
 )
@@ -173,29 +174,25 @@ VIEWS = {
 DEFINITIONS = {**TABLES, **VIEWS}
 
 
-def _used(text: str) -> set[str]:
-    return {n for n in DEFINITIONS if re.search(rf"(?<![\w.'-]){n}\b(?!['.])", text)}
-
-
-def with_definitions(select: str) -> str:
+def with_definitions(select: str, definitions: dict[str, str] = DEFINITIONS) -> str:
     """Puts the definitions ``select`` needs, and those they need, in front of it."""
-    needed, open_names = set(), _used(select)
-    while open_names:
-        needed |= open_names
-        open_names = set().union(*(_used(DEFINITIONS[n]) for n in open_names)) - needed
+    def used(text: str) -> list[str]:
+        return [n for n in definitions if re.search(rf"(?<![\w.'-]){n}\b(?!['.])", text)]
+
     order: list[str] = []
 
     def place(name: str) -> None:
-        for other in sorted(_used(DEFINITIONS[name]) - {name}):
-            place(other)
+        for other in used(definitions[name]):
+            if other != name:
+                place(other)
         if name not in order:
             order.append(name)
 
-    for name in sorted(needed):
+    for name in used(select):
         place(name)
     if not order:
         return select.strip()
-    ctes = ",\n".join(f"{name} AS ({DEFINITIONS[name].strip()})" for name in order)
+    ctes = ",\n".join(f"{name} AS ({definitions[name].strip()})" for name in order)
     return f"WITH {ctes}\n{select.strip()}"
 
 
@@ -513,19 +510,23 @@ def _not_null() -> str:
         for t in SCHEMAS for c in required_columns(t))
 
 
+def _unknown(k: ForeignKey) -> str:
+    known = f"SELECT {k.parent_column} FROM {k.parent} WHERE {k.parent_column} IS NOT NULL"
+    return f"{k.column} IS NOT NULL AND {k.column} NOT IN ({known})"
+
+
 def _orphans() -> str:
     return " UNION ALL ".join(
         f"SELECT '{k.name}' AS restricao, CAST({k.column} AS VARCHAR) AS chave, COUNT(*) AS linhas "
-        f"FROM {k.table} WHERE {k.column} NOT IN (SELECT {k.parent_column} FROM {k.parent}) GROUP BY {k.column}"
-        for k in FOREIGN_KEYS)
+        f"FROM {k.table} WHERE {_unknown(k)} GROUP BY {k.column}" for k in FOREIGN_KEYS)
 
 
 def _orphan_summary() -> str:
     return " UNION ALL ".join(
         f"SELECT '{k.name}' AS restricao, COUNT(*) AS linhas, COUNT(*) - COUNT({k.column}) AS nulas, "
-        f"COUNT(*) FILTER ({k.column} NOT IN (SELECT {k.parent_column} FROM {k.parent})) AS linhas_orfas, "
-        f"COUNT(DISTINCT {k.column}) FILTER ({k.column} NOT IN (SELECT {k.parent_column} FROM {k.parent}))"
-        f" AS chaves_orfas FROM {k.table}" for k in FOREIGN_KEYS)
+        f"COUNT(*) FILTER ({_unknown(k)}) AS linhas_orfas, "
+        f"COUNT(DISTINCT {k.column}) FILTER ({_unknown(k)}) AS chaves_orfas FROM {k.table}"
+        for k in FOREIGN_KEYS)
 
 
 def _domains() -> str:
@@ -595,7 +596,8 @@ def _summary() -> str:
         "excesso_sobre_contratos": "COALESCE(SUM(pago - teto), 0) FROM acima",
         "contratos_registrados": "COUNT(*) FROM contrato",
         "contratos_sem_empenho":
-            "COUNT(*) FROM contrato WHERE id_contrato NOT IN (SELECT id_contrato FROM empenho)",
+            "COUNT(*) FROM contrato WHERE id_contrato NOT IN"
+            " (SELECT id_contrato FROM empenho WHERE id_contrato IS NOT NULL)",
         "fornecedores_cadastrados": "COUNT(*) FROM fornecedor",
         "pagamentos_sem_liquidacao_sem_nfe":
             "COUNT(*) FROM emp_pag WHERE id_empenho NOT IN (FROM liquidados)"
@@ -607,16 +609,18 @@ def _summary() -> str:
         "valor_dos_adiantamentos_completos":
             "COALESCE(SUM(pago), 0) FROM par WHERE dia < inicio AND dia < data_emissao",
         "empenhos_abertos_acima_do_contrato":
-            "COUNT(DISTINCT id_empenho) FROM aberto WHERE reservado > teto",
+            "COUNT(DISTINCT id_empenho) FROM aberto JOIN fornecedor f USING (id_fornecedor)"
+            " WHERE reservado > teto",
         "empenhos_abertos_com_excesso_pago":
-            "COUNT(*) FROM (SELECT id_empenho FROM aberto WHERE reservado > teto"
-            " GROUP BY id_empenho, teto HAVING SUM(pago) > teto)",
+            "COUNT(*) FROM (SELECT id_empenho FROM aberto JOIN fornecedor f USING (id_fornecedor)"
+            " WHERE reservado > teto GROUP BY id_empenho, teto HAVING SUM(pago) > teto)",
         "notas_com_valor_divergente": "COUNT(*) FROM divergente",
         "empenhos_pagos_acima_das_notas": "COUNT(*) FROM acima_das_notas",
         "pagamentos_irregulares_com_nota": "COALESCE(SUM(n), 0) FROM suspeito",
         "volume_irregular_com_nota": "COALESCE(SUM(volume), 0) FROM suspeito",
-        "empenhos_problematicos": "COUNT(DISTINCT id_empenho) FROM problema",
-        "impacto_financeiro_total": "COALESCE(SUM(IF(pago > teto, pago - teto, pago)), 0) FROM problema",
+        "empenhos_problematicos": "COUNT(DISTINCT id_empenho) FROM problema JOIN entidade en USING (id_entidade)",
+        "impacto_financeiro_total": "COALESCE(SUM(IF(pago > teto, pago - teto, pago)), 0)"
+            " FROM problema JOIN entidade en USING (id_entidade)",
         "registros_de_pagamento_de_nota": "COUNT(*) FROM nfe_pagamento",
         "pagamentos_de_nota_orfaos": "COUNT(*) FROM orfao",
     }
@@ -628,7 +632,8 @@ def _summary() -> str:
     return " UNION ALL ".join(row(m, t) for m, t in figures.items())
 
 
-def all_sql() -> dict[str, str]:
+def all_sql(definitions: dict[str, str] = DEFINITIONS) -> dict[str, str]:
+    """Every check; with ``VIEWS`` as definitions, over audit tables that exist."""
     selects = dict(SELECTS)
     selects |= {name: SELECTS[other] for name, other in SAME_AS.items()}
     selects |= {
@@ -644,4 +649,4 @@ def all_sql() -> dict[str, str]:
         "r03_supplier_document_validity": _documents(),
         "s01_audit_summary": _summary(),
     }
-    return {name: with_definitions(sql) for name, sql in selects.items()}
+    return {name: with_definitions(sql, definitions) for name, sql in selects.items()}

@@ -8,7 +8,7 @@ payments come in: payments, the largest table, are shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lupafiscal.audit import Audit
@@ -189,27 +189,28 @@ def days_of_cycle(a: Audit) -> DataFrame:
 
     Replaces pairing every payment with every liquidation of its commitment:
     both are first counted by day, so that a window over one commitment holds
-    at most two rows per calendar day, however many payments it has.
+    at most one row per calendar day, however many payments it has.
     ``n_liq_depois`` counts liquidations dated after the day, ``n_liq_ate`` the
     others.
     """
-    zero = F.lit(0).cast("long")
-    paid = payment_rows(a).groupBy("id_empenho", F.col("data_pagamento").alias("dia")).agg(
-        F.count("*").alias("n_pagamentos"), F.sum("valor_pago").alias("total_pago"))
-    delivered = liquidation_rows(a).groupBy("id_empenho", F.col("data_emissao").alias("dia")).agg(
-        F.count("*").alias("n_liq"))
-    both = paid.withColumn("n_liq", zero).unionByName(
-        delivered.withColumn("n_pagamentos", zero)
-        .withColumn("total_pago", F.lit(None).cast("decimal(25,2)")))
+    paid = payment_rows(a).select(
+        "id_empenho", F.col("data_pagamento").alias("dia"), "valor_pago",
+        F.lit(1).alias("pagamento"), F.lit(0).alias("liquidacao"))
+    delivered = a.table("liquidacao_nota_fiscal", "id_empenho", "data_emissao").select(
+        "id_empenho", F.col("data_emissao").alias("dia"),
+        F.lit(None).cast("decimal(15,2)").alias("valor_pago"),
+        F.lit(0).alias("pagamento"), F.lit(1).alias("liquidacao"))
+    by_day = paid.unionByName(delivered).groupBy("id_empenho", "dia").agg(
+        F.sum("pagamento").alias("n_pagamentos"),
+        F.sum("valor_pago").alias("total_pago"),
+        F.sum("liquidacao").alias("n_liq"),
+    )
+    commitment = Window.partitionBy("id_empenho")
     return (
-        both.selectExpr(
-            "*",
-            "sum(n_liq) over (partition by id_empenho order by dia) as n_liq_ate",
-            "sum(n_liq) over (partition by id_empenho) as n_liq_total",
-        )
+        by_day.withColumn("n_liq_ate", F.sum("n_liq").over(commitment.orderBy("dia")))
+        .withColumn("n_liq_depois", F.sum("n_liq").over(commitment) - F.col("n_liq_ate"))
         .filter("n_pagamentos > 0")
-        .select("id_empenho", "dia", "n_pagamentos", "total_pago", "n_liq_ate",
-                (F.col("n_liq_total") - F.col("n_liq_ate")).alias("n_liq_depois"))
+        .drop("n_liq")
     )
 
 
