@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import spread_join
 from lupafiscal.functions.money import DIFFERENCE, TOTAL, total
-from lupafiscal.operators import impact, invoices, openings, timing, volumes
+from lupafiscal.operators import invoices, openings, volumes
 from lupafiscal.operators.registry import check
 from lupafiscal.plans import facts
 from lupafiscal.plans.facts import COUNT, FLAG, WITH, WITHOUT
@@ -128,67 +130,91 @@ def _commitment_figures(a: Audit) -> DataFrame:
 
 
 def _payment_figures(a: Audit) -> DataFrame:
+    """One pass over the payments, for all figures that need no liquidation date."""
     rows = facts.payments(a, value=False, contract="left", liquidation=FLAG)
+    rows = facts.with_invoice_flag(a, rows)
+    named = facts.bodies(a).select("id_entidade", F.lit(True).alias("_named"))
+    rows = rows.join(named, "id_entidade", "left")
     over, early = facts.over_contract(), facts.before_contract()
     unliquidated = ~F.col("tem_liquidacao")
     excess = F.col("valor_pago") - F.col("valor_contrato")
+    # payments without contract or body are in no body's list
+    problem = F.col("_named") & F.col("valor_contrato").isNotNull() & (over | unliquidated)
+    risk = F.when(over, excess).otherwise(F.col("valor_pago"))
+    per_commitment = rows.groupBy("id_empenho").agg(
+        F.count_if(facts.before_commitment()).alias("antes_empenho"),
+        F.count_if(early).alias("antes_contrato"),
+        F.count_if(over).alias("acima"),
+        F.count_if(over & early).alias("acima_antes"),
+        F.count_if(over & unliquidated).alias("acima_sem"),
+        F.count_if(unliquidated & ~F.col("tem_nfe_pagamento")).alias("sem_nada"),
+        F.sum(F.when(over, excess)).alias("excesso"),
+        F.max(problem).alias("problema"),
+        F.sum(F.when(problem, risk)).alias("risco"),
+    )
+    counts = ["antes_empenho", "antes_contrato", "acima", "acima_antes", "acima_sem", "sem_nada"]
+    zero = F.lit(0)
     return _metrics(
-        rows.agg(
-            F.count_if(facts.before_commitment()).alias("antes_empenho"),
-            F.count_if(early).alias("antes_contrato"),
-            F.count_if(over).alias("acima"),
-            F.count_if(over & early).alias("acima_antes"),
-            F.count_if(over & unliquidated).alias("acima_sem"),
-            F.coalesce(F.sum(F.when(over, excess)), F.lit(0)).alias("excesso"),
+        per_commitment.agg(
+            *[F.coalesce(F.sum(c), zero).alias(c) for c in counts],
+            *[F.coalesce(F.sum(c), zero).alias(c) for c in ("excesso", "risco")],
+            F.count_if("problema").alias("problemas"),
         ),
         pagamentos_antes_do_empenho="antes_empenho",
         pagamentos_antes_do_contrato="antes_contrato",
         pagamentos_acima_do_contrato="acima",
         pagamentos_acima_do_contrato_antes_da_vigencia="acima_antes",
         pagamentos_acima_do_contrato_sem_liquidacao="acima_sem",
+        pagamentos_sem_liquidacao_sem_nfe="sem_nada",
         excesso_sobre_contratos="excesso",
+        empenhos_problematicos="problemas",
+        impacto_financeiro_total="risco",
+    )
+
+
+def _day_figures(a: Audit) -> DataFrame:
+    """One pass over the payment days, for the figures that compare with liquidations."""
+    days = facts.days_of_cycle(a).filter("n_liq_depois > 0").withColumnRenamed("total_pago", "pago")
+    rows = days.join(facts.commitments(a, value=False, contract="left"), "id_empenho")
+    pairs = F.col("n_pagamentos") * F.col("n_liq_depois")
+    advance = F.col("dia") < F.col("data_inicio_contrato")
+    zero = F.lit(0)
+    return _metrics(
+        rows.agg(
+            F.coalesce(F.sum(F.when(F.col("data_empenho") > F.col("dia"), pairs)), zero).alias("antes"),
+            F.count_distinct(F.when(advance, F.col("id_empenho"))).alias("empenhos"),
+            F.coalesce(F.sum(F.when(advance, F.col("pago") * F.col("n_liq_depois"))), zero).alias("valor"),
+        ),
+        pagamentos_antes_da_liquidacao="antes",
+        adiantamentos_completos="empenhos",
+        valor_dos_adiantamentos_completos="valor",
     )
 
 
 @check("s01_audit_summary")
 def audit_summary(a: Audit) -> DataFrame:
     """The headline figures as rows (metrica, valor); each part ends in one row."""
-    status = openings.invoice_status_of_unliquidated(a).agg(
-        F.sum(F.when(F.col("status_fiscal") == "SEM_NFE_VINCULADA", F.col("qtd_pagamentos"))).alias("n"))
-    before_delivery = timing.early_payment_vs_liquidation(a).agg(
-        F.sum(F.when(F.col("tipo_inconsistencia").startswith("PAGOU_ANTES"), F.col("qtd_casos"))).alias("n"))
     open_over = openings.real_excess_paid(a).agg(
         F.count("*").alias("n"), F.count_if(F.col("excesso_pago_real") > 0).alias("pagos"))
     backed = invoices.modus_operandi(a).agg(
         F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
-    problems = impact.entity_impact(a).agg(
-        F.sum("qtd_empenhos_problematicos").alias("n"), F.sum("total_risco_financeiro").alias("risco"))
 
     def size(rows: DataFrame) -> DataFrame:
         return rows.agg(F.count("*").alias("n"))
 
-    parts = [
+    return reduce(DataFrame.unionByName, [
         _commitment_figures(a),
         _payment_figures(a),
+        _day_figures(a),
         _metrics(volumes.total_contracts(a), contratos_registrados="total_contratos"),
         _metrics(size(volumes.contracts_without_commitment(a)), contratos_sem_empenho="n"),
         _metrics(volumes.total_suppliers(a), fornecedores_cadastrados="total_fornecedores"),
-        _metrics(status, pagamentos_sem_liquidacao_sem_nfe="coalesce(n, 0)"),
-        _metrics(before_delivery, pagamentos_antes_da_liquidacao="coalesce(n, 0)"),
-        _metrics(timing.full_advances(a), adiantamentos_completos="qtd_empenhos",
-                 valor_dos_adiantamentos_completos="coalesce(total_pago, 0)"),
         _metrics(open_over, empenhos_abertos_acima_do_contrato="n",
                  empenhos_abertos_com_excesso_pago="pagos"),
         _metrics(size(invoices.invoice_divergence(a)), notas_com_valor_divergente="n"),
         _metrics(size(invoices.paid_over_invoices(a)), empenhos_pagos_acima_das_notas="n"),
         _metrics(backed, pagamentos_irregulares_com_nota="coalesce(n, 0)",
                  volume_irregular_com_nota="coalesce(volume, 0)"),
-        _metrics(problems, empenhos_problematicos="coalesce(n, 0)",
-                 impacto_financeiro_total="coalesce(risco, 0)"),
         _metrics(size(a.table("nfe_pagamento", "id")), registros_de_pagamento_de_nota="n"),
         _metrics(size(invoices.orphan_invoice_payments(a)), pagamentos_de_nota_orfaos="n"),
-    ]
-    summary = parts[0]
-    for part in parts[1:]:
-        summary = summary.unionByName(part)
-    return summary
+    ])

@@ -70,7 +70,9 @@ def paid_keys(a: Audit) -> DataFrame:
 def invoiced_keys(a: Audit) -> DataFrame:
     """Commitments with a liquidation whose invoice exists."""
     liq = a.table("liquidacao_nota_fiscal", "chave_danfe", "id_empenho")
-    issued = distinct_keys(a.table("nfe", "chave_nfe"), "chave_nfe", "chave_danfe")
+    # invoice keys are unique and stay as they are; liquidations may share one, and both
+    # sides straight from a shuffle let such a key be split
+    issued = a.table("nfe", "chave_nfe").withColumnRenamed("chave_nfe", "chave_danfe")
     return distinct_keys(having(liq, issued, "chave_danfe"), "id_empenho")
 
 
@@ -165,8 +167,8 @@ def _from_stored(fact: DataFrame, contract: str | None, liquidation: str | None,
 
 def without_invoice_payment(a: Audit, rows: DataFrame) -> DataFrame:
     """Payments no invoice payment is recorded for."""
-    return lacking(rows, distinct_keys(a.table("nfe_pagamento", "id"), "id", "id_pagamento"),
-                   "id_pagamento")
+    recorded = a.table("nfe_pagamento", "id").withColumnRenamed("id", "id_pagamento")
+    return lacking(rows, recorded, "id_pagamento")
 
 
 def with_invoice_flag(a: Audit, rows: DataFrame) -> DataFrame:

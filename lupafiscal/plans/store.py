@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lupafiscal.audit import Audit
-from lupafiscal.functions.joins import distinct_keys, spread_join
+from lupafiscal.functions.joins import spread_join
 from lupafiscal.plans import facts
 
 
@@ -28,10 +28,14 @@ def payment_fact(a: Audit) -> DataFrame:
     side = side.join(known, "id_contrato", "left")
     side = side.withColumn("contrato_existe", F.col("_known").isNotNull()).drop("_known")
     fact = spread_join(facts.payment_rows(a), side, "id_empenho")
-    recorded = distinct_keys(a.table("nfe_pagamento", "id"), "id", "id_pagamento")
-    fact = fact.join(recorded.withColumn("_recorded", F.lit(True)), "id_pagamento", "left")
-    fact = fact.withColumn("tem_registro_nfe", F.col("_recorded").isNotNull()).drop("_recorded")
-    return facts.with_invoice_flag(a, fact)
+    links = a.table("nfe_pagamento", "id", "chave_nfe").select(
+        F.col("id").alias("id_pagamento"), F.lit(True).alias("_recorded"),
+        F.col("chave_nfe").alias("_chave"))
+    return fact.join(links, "id_pagamento", "left").select(
+        *fact.columns,
+        F.col("_recorded").isNotNull().alias("tem_registro_nfe"),
+        F.col("_chave").isNotNull().alias("tem_nfe_pagamento"),
+    )
 
 
 def write_payment_fact(a: Audit, path: str) -> None:

@@ -18,6 +18,20 @@ SETTINGS = {
 }
 
 
+def sized_for(input_bytes: int, task_bytes: int = 128 << 20) -> dict[str, str]:
+    """Shuffle settings for an input of this size.
+
+    Shuffles start with one partition per ``task_bytes`` of input, so that a
+    task sorts in memory; adaptive execution merges those that turn out small.
+    """
+    partitions = max(8, -(-input_bytes // task_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),
+    }
+
+
 def build(master: str | None = None, app: str = "lupafiscal", **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
