@@ -89,8 +89,10 @@ def expense_by_object(a: Audit) -> DataFrame:
         .groupBy(F.col("objeto").alias("objeto_contrato"))
         .agg(total("pago").alias("valor_total_pago"), total("prejuizo").alias("valor_prejuizo_estimado"))
     )
-    everything = sums.agg(F.sum("valor_total_pago").cast("double")).scalar()
-    share = F.col("valor_total_pago").cast("double") / everything
+    # both sums are taken, so that the total is built on the shuffle of the rows themselves
+    everything = sums.agg(F.struct(F.sum("valor_total_pago").alias("pago"),
+                                   F.sum("valor_prejuizo_estimado").alias("prejuizo"))).scalar()
+    share = F.col("valor_total_pago").cast("double") / everything["pago"].cast("double")
     return sums.withColumn("percentual_pago", F.round(share * 100, 2)).orderBy(
         F.desc("valor_total_pago"), "objeto_contrato")
 
