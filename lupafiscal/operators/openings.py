@@ -63,10 +63,10 @@ def fiscal_integrity(a: Audit) -> DataFrame:
 
 
 def _open_commitments(a: Audit) -> DataFrame:
-    """Commitments without liquidation, with the sum of their payments without invoice
-    payment; those without such a payment are left out."""
-    sums = facts.payment_totals(facts.open_payment_rows(a))
-    return facts.commitments(a, liquidation=WITHOUT).join(sums, "id_empenho")
+    """One row per commitment with open payments; the other columns follow from its key."""
+    return facts.open_payments(a).groupBy(
+        "id_empenho", "id_contrato", "id_fornecedor", "valor_empenhado", "valor_contrato"
+    ).agg(F.count("*").alias("n_pagamentos"), F.sum("valor_pago").alias("total_pago"))
 
 
 @check("q08_open_paid_totals")
@@ -116,14 +116,10 @@ def real_excess_paid(a: Audit) -> DataFrame:
 
 @check("q13_open_payment_dates")
 def open_payment_dates(a: Audit) -> DataFrame:
-    if a.payment_fact is not None:
-        paid = facts.payments(a, liquidation=WITHOUT).filter(~F.col("tem_registro_nfe"))
-    else:
-        paid = facts.payments(a, value=False, liquidation=WITHOUT,
-                              rows=facts.open_payment_rows(a))
     moment = F.when(facts.before_contract(), F.lit("PAGOU_ANTES_DO_CONTRATO")).when(
         F.col("data_pagamento") >= F.col("data_inicio_contrato"), F.lit("PAGOU_DURANTE_VIGENCIA"))
-    return paid.groupBy(moment.alias("checagem_data")).agg(F.count("*").alias("qtd_pagamentos"))
+    return facts.open_payments(a, value=False).groupBy(moment.alias("checagem_data")).agg(
+        F.count("*").alias("qtd_pagamentos"))
 
 
 @check("g08_open_overvalued_contracts")

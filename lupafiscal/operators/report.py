@@ -25,7 +25,10 @@ def irregularities(a: Audit) -> DataFrame:
     """
     keep = ["id_empenho", "id_pagamento", "id_contrato", "id_entidade", "id_fornecedor", "objeto",
             "valor_contrato", "valor_pago"]
-    over = facts.payments(a, value=False, liquidation=WITH).filter(facts.over_contract())
+    # a plain comparison would add "is not null" to the scans of this part alone, and the
+    # shuffles of payments and contracts could not be shared with the other part
+    over = facts.payments(a, value=False, liquidation=WITH).filter(
+        F.coalesce(facts.over_contract(), F.lit(False)))
     repeated = spread_join(over.select(*keep), a.table("liquidacao_nota_fiscal", "id_empenho"),
                            "id_empenho")
     return repeated.unionByName(

@@ -139,17 +139,13 @@ def payments(
     contract: str | None = "inner",
     liquidation: str | None = None,
     invoiced: bool = False,
-    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per payment with its commitment; options as in ``commitments``.
-
-    ``rows`` gives payments already narrowed, otherwise all are taken.
-    """
-    if a.payment_fact is not None and rows is None:
+    """One row per payment with its commitment; options as in ``commitments``."""
+    if a.payment_fact is not None:
         return _from_stored(a.payment_fact, contract, liquidation, invoiced)
     side = commitments(a, value=value, contract=contract, liquidation=liquidation,
                        invoiced=invoiced)
-    return spread_join(payment_rows(a) if rows is None else rows, side, "id_empenho")
+    return spread_join(payment_rows(a), side, "id_empenho")
 
 
 def _from_stored(fact: DataFrame, contract: str | None, liquidation: str | None,
@@ -167,6 +163,8 @@ def _from_stored(fact: DataFrame, contract: str | None, liquidation: str | None,
 
 def without_invoice_payment(a: Audit, rows: DataFrame) -> DataFrame:
     """Payments no invoice payment is recorded for."""
+    if "tem_registro_nfe" in rows.columns:
+        return rows.filter(~F.col("tem_registro_nfe"))
     recorded = a.table("nfe_pagamento", "id").withColumnRenamed("id", "id_pagamento")
     return lacking(rows, recorded, "id_pagamento")
 
@@ -181,9 +179,13 @@ def with_invoice_flag(a: Audit, rows: DataFrame) -> DataFrame:
         *rows.columns, F.col("_chave").isNotNull().alias("tem_nfe_pagamento"))
 
 
-def open_payment_rows(a: Audit) -> DataFrame:
-    """Payments without invoice payment, nothing else joined."""
-    return without_invoice_payment(a, payment_rows(a))
+def open_payments(a: Audit, *, value: bool = True) -> DataFrame:
+    """Payments of contracted commitments with neither liquidation nor invoice payment.
+
+    Few commitments stay without liquidation, so that is tested first and only
+    the payments left are shuffled again, by payment.
+    """
+    return without_invoice_payment(a, payments(a, value=value, liquidation=WITHOUT))
 
 
 def days_of_cycle(a: Audit) -> DataFrame:
