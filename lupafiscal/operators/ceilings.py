@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.money import TOTAL, difference, total
 from lupafiscal.operators.registry import check
@@ -35,16 +36,16 @@ def paid_over_commitment(a: Audit) -> DataFrame:
 @check("g11_budget_execution")
 def budget_execution(a: Audit) -> DataFrame:
     return _overpaid(a, "diferenca_estouro").withColumn(
-        "status_execucao", F.lit("PAGO A MAIOR QUE EMPENHO"))
+        "status_execucao", F.lit(labels.FINDING_OVER_COMMITMENT))
 
 
 @check("q18_commitment_payment_status")
 def commitment_payment_status(a: Audit) -> DataFrame:
     paid, held = F.coalesce("total_pago", F.lit(0)), F.col("valor_empenhado")
     status = (
-        F.when(paid > held, F.lit("PAGO_A_MAIOR"))
-        .when(paid == held, F.lit("DEVIDAMENTE_PAGO"))
-        .otherwise(F.lit("NAO_DEVIDAMENTE_PAGO"))
+        F.when(paid > held, F.lit(labels.OVERPAID))
+        .when(paid == held, F.lit(labels.PAID_EXACTLY))
+        .otherwise(F.lit(labels.NOT_PAID_IN_FULL))
     )
     return (
         _paid_per_commitment(a, "left")
@@ -65,9 +66,9 @@ def _by_class(paid: DataFrame, name: str, value: Column) -> DataFrame:
 @check("q24_payment_over_ceiling_summary", "g06_over_ceiling_summary")
 def payment_over_ceiling_summary(a: Audit) -> DataFrame:
     status = (
-        F.when(facts.over_contract(), F.lit("PAGAMENTO_MAIOR_QUE_CONTRATO"))
-        .when(F.col("valor_pago") > F.col("valor_empenhado"), F.lit("PAGAMENTO_MAIOR_QUE_EMPENHO"))
-        .otherwise(F.lit("PAGAMENTO_DENTRO_DO_LIMITE"))
+        F.when(facts.over_contract(), F.lit(labels.OVER_CONTRACT))
+        .when(F.col("valor_pago") > F.col("valor_empenhado"), F.lit(labels.OVER_COMMITMENT))
+        .otherwise(F.lit(labels.WITHIN_LIMIT))
     )
     return _by_class(facts.payments(a), "status_pagamento", status)
 
@@ -75,10 +76,10 @@ def payment_over_ceiling_summary(a: Audit) -> DataFrame:
 @check("q25_over_contract_by_validity")
 def over_contract_by_validity(a: Audit) -> DataFrame:
     status = (
-        F.when(facts.before_contract(), F.lit("ANTES_DA_VIGENCIA"))
+        F.when(facts.before_contract(), F.lit(labels.BEFORE_TERM))
         .when(F.col("data_pagamento") == F.col("data_inicio_contrato"),
-              F.lit("NO_INICIO_DA_VIGENCIA"))
-        .otherwise(F.lit("DURANTE_A_VIGENCIA"))
+              F.lit(labels.ON_START))
+        .otherwise(F.lit(labels.DURING_TERM))
     )
     over = facts.payments(a, value=False).filter(facts.over_contract())
     return _by_class(over, "status_vigencia_pagamento", status)
@@ -86,16 +87,16 @@ def over_contract_by_validity(a: Audit) -> DataFrame:
 
 @check("q26_over_contract_by_liquidation")
 def over_contract_by_liquidation(a: Audit) -> DataFrame:
-    status = F.when(F.col("tem_liquidacao"), F.lit("COM_LIQUIDACAO")).otherwise(
-        F.lit("SEM_LIQUIDACAO"))
+    status = F.when(F.col("tem_liquidacao"), F.lit(labels.LIQUIDATED)).otherwise(
+        F.lit(labels.NOT_LIQUIDATED))
     over = facts.payments(a, value=False, liquidation=FLAG).filter(facts.over_contract())
     return _by_class(over, "status_liquidacao", status)
 
 
 @check("c13_over_contract_detail")
 def over_contract_detail(a: Audit) -> DataFrame:
-    moment = F.when(facts.before_contract(), F.lit("Antes da Vigência")).otherwise(
-        F.lit("Durante Vigência"))
+    moment = F.when(facts.before_contract(), F.lit(labels.LIST_BEFORE_TERM)).otherwise(
+        F.lit(labels.LIST_DURING_TERM))
     return (
         facts.payments(a, value=False)
         .filter(facts.over_contract())
@@ -133,4 +134,4 @@ def critical_cases(a: Audit) -> DataFrame:
 def critical_detail(a: Audit) -> DataFrame:
     return _critical(a).orderBy(F.desc("valor_excedente"), "id_empenho", "valor_pago").select(
         "orgao_pagador", "nome_fornecedor", "id_empenho", "valor_contrato", "valor_pago",
-        "valor_excedente", F.lit("CRITICO: SOBREPREÇO + SEM LIQUIDAÇÃO").alias("status_auditoria"))
+        "valor_excedente", F.lit(labels.FINDING_CRITICAL).alias("status_auditoria"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.money import TOTAL, total
 from lupafiscal.operators.registry import check
@@ -27,9 +28,9 @@ def _consolidated(a: Audit, once: bool) -> DataFrame:
         .select(
             "id_empenho",
             F.col("nome_entidade").alias("entidade_responsavel"),
-            F.when(over, F.lit("Sobrepreço Contratual"))
-            .when(none, F.lit("Pagamento Sem Liquidação"))
-            .otherwise(F.lit("Outra Irregularidade"))
+            F.when(over, F.lit(labels.RISK_OVERPRICE))
+            .when(none, F.lit(labels.RISK_NO_DELIVERY))
+            .otherwise(F.lit(labels.RISK_OTHER))
             .alias("categoria_risco"),
             F.when(over, F.col("pago") - F.col("valor_contrato"))
             .otherwise(F.col("pago"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import distinct_keys, having, lacking
 from lupafiscal.functions.money import TOTAL, difference, total
@@ -104,7 +105,7 @@ def _orphans(a: Audit) -> DataFrame:
     links = a.table("nfe_pagamento", "chave_nfe", "tipo_pagamento", "valor_pagamento")
     return lacking(links, booked, "chave_nfe").select(
         "chave_nfe", "tipo_pagamento", F.col("valor_pagamento").alias("valor_nfe_pagamento"),
-        F.lit("REGISTRO ORFÃO (SEM LIQUIDAÇÃO VINCULADA)").alias("status_auditoria"))
+        F.lit(labels.FINDING_ORPHAN).alias("status_auditoria"))
 
 
 @check("q35_orphan_invoice_payments")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import having, spread_join
 from lupafiscal.functions.money import TOTAL, difference, total
@@ -18,8 +19,8 @@ def _unliquidated(a: Audit) -> DataFrame:
 
 
 def _invoice_status() -> Column:
-    return F.when(F.col("tem_nfe_pagamento"), F.lit("COM_NFE_VINCULADA")).otherwise(
-        F.lit("SEM_NFE_VINCULADA"))
+    return F.when(F.col("tem_nfe_pagamento"), F.lit(labels.WITH_INVOICE)).otherwise(
+        F.lit(labels.WITHOUT_INVOICE))
 
 
 @check("q04_payments_without_liquidation", "g05_payments_without_liquidation")
@@ -52,8 +53,8 @@ def fiscal_integrity(a: Audit) -> DataFrame:
         F.col("id_liq_empnf").alias("registro_liquidacao"),
         F.col("chave_danfe").alias("chave_nfe_liquidacao"),
     )
-    status = F.when(F.col("tem_nfe_pagamento"), F.lit("CONCLUÍDO COM NF-E")).otherwise(
-        F.lit("PENDENTE DE VINCULAÇÃO FISCAL (SEM NF-E NO PAGAMENTO)"))
+    status = F.when(F.col("tem_nfe_pagamento"), F.lit(labels.INTEGRITY_COMPLETE)).otherwise(
+        F.lit(labels.INTEGRITY_PENDING))
     return (
         spread_join(paid, delivered, "id_empenho")
         .select("id_empenho", "id_pagamento", "valor_pago", "registro_liquidacao",
@@ -84,9 +85,9 @@ def commitment_vs_contract(a: Audit) -> DataFrame:
     """Values count once per open payment, as in the report; multiplied, not repeated."""
     held, ceiling = F.col("valor_empenhado"), F.col("valor_contrato")
     relation = (
-        F.when(held > ceiling, F.lit("EMPENHO_SUPERIOR_AO_CONTRATO"))
-        .when(held < ceiling, F.lit("EMPENHO_INFERIOR_AO_CONTRATO"))
-        .otherwise(F.lit("EMPENHO_IGUAL_AO_CONTRATO"))
+        F.when(held > ceiling, F.lit(labels.COMMITMENT_ABOVE))
+        .when(held < ceiling, F.lit(labels.COMMITMENT_BELOW))
+        .otherwise(F.lit(labels.COMMITMENT_EQUAL))
     )
     return _open_commitments(a).groupBy(relation.alias("relacao_empenho_contrato")).agg(
         F.count_distinct("id_empenho").alias("quantidade_empenhos"),
@@ -116,8 +117,8 @@ def real_excess_paid(a: Audit) -> DataFrame:
 
 @check("q13_open_payment_dates")
 def open_payment_dates(a: Audit) -> DataFrame:
-    moment = F.when(facts.before_contract(), F.lit("PAGOU_ANTES_DO_CONTRATO")).when(
-        F.col("data_pagamento") >= F.col("data_inicio_contrato"), F.lit("PAGOU_DURANTE_VIGENCIA"))
+    moment = F.when(facts.before_contract(), F.lit(labels.OPEN_BEFORE_CONTRACT)).when(
+        F.col("data_pagamento") >= F.col("data_inicio_contrato"), F.lit(labels.OPEN_DURING_TERM))
     return facts.open_payments(a, value=False).groupBy(moment.alias("checagem_data")).agg(
         F.count("*").alias("qtd_pagamentos"))
 
@@ -139,7 +140,7 @@ def open_overvalued_contracts(a: Audit) -> DataFrame:
             F.col("valor_empenhado").alias("valor_reservado_empenho"),
             difference("valor_empenhado", "valor_contrato").alias("excesso_reservado"),
             F.col("total_pago").cast(TOTAL).alias("total_ja_pago"),
-            F.lit("EMPENHO MAIOR QUE CONTRATO (SEM LIQUIDAÇÃO)").alias("risco_detectado"),
+            F.lit(labels.FINDING_OPEN_OVERVALUED).alias("risco_detectado"),
         )
         .orderBy(F.desc("excesso_reservado"), "id_empenho")
     )
@@ -147,8 +148,8 @@ def open_overvalued_contracts(a: Audit) -> DataFrame:
 
 @check("g09_open_contract_dates")
 def open_contract_dates(a: Audit) -> DataFrame:
-    moment = F.when(facts.before_contract(), F.lit("PAGOU_ANTES_DO_CONTRATO")).otherwise(
-        F.lit("PAGOU_DURANTE_VIGENCIA"))
+    moment = F.when(facts.before_contract(), F.lit(labels.OPEN_BEFORE_CONTRACT)).otherwise(
+        F.lit(labels.OPEN_DURING_TERM))
     return (
         facts.payments(a, value=False, liquidation=WITHOUT)
         .select("id_empenho", "id_pagamento", F.col("data_pagamento").alias("datapagamentoempenho"),

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import spread_join
 from lupafiscal.functions.money import DIFFERENCE, TOTAL, total
@@ -40,8 +41,8 @@ def _kind_and_loss(rows: DataFrame) -> DataFrame:
     over = facts.over_contract()
     return rows.withColumn(
         "tipo_irregularidade",
-        F.when(over, F.lit("Sobrepreço (Acima do Contrato)"))
-        .otherwise(F.lit("Pagamento Sem Liquidação (Fantasma)")),
+        F.when(over, F.lit(labels.KIND_OVERPRICE))
+        .otherwise(F.lit(labels.KIND_NO_DELIVERY)),
     ).withColumn(
         "valor_prejuizo_estimado",
         F.when(over, F.col("valor_pago") - F.col("valor_contrato"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import spread_join
 from lupafiscal.functions.money import total
@@ -46,16 +47,15 @@ def early_payment_vs_liquidation(a: Audit) -> DataFrame:
     """A payment counts once per liquidation, or once if there is none."""
     e = a.table("empenho", "id_empenho", "data_empenho")
     days = facts.days_of_cycle(a).join(e, "id_empenho").filter("data_empenho > dia")
-    cases = days.selectExpr(
-        "n_pagamentos", "total_pago",
-        """inline(array(
-             struct('PAGOU_ANTES_DE_LIQUIDAR (GRAVÍSSIMO)' as tipo_inconsistencia,
-                    n_liq_depois as vezes),
-             struct('LIQUIDOU_ANTES_MAS_EMPENHOU_DEPOIS (ERRO_CONTABIL)' as tipo_inconsistencia,
-                    n_liq_ate as vezes),
-             struct('SEM_LIQUIDACAO' as tipo_inconsistencia,
-                    if(n_liq_depois + n_liq_ate = 0, 1L, 0L) as vezes)))""",
-    ).filter("vezes > 0")
+    def case(label: str, times: Column) -> Column:
+        return F.struct(F.lit(label).alias("tipo_inconsistencia"), times.alias("vezes"))
+
+    none = (F.col("n_liq_depois") + F.col("n_liq_ate") == 0).cast("long")
+    cases = days.select("n_pagamentos", "total_pago", F.inline(F.array(
+        case(labels.PAID_BEFORE_DELIVERY, F.col("n_liq_depois")),
+        case(labels.DELIVERED_BEFORE_PAYMENT, F.col("n_liq_ate")),
+        case(labels.NEVER_DELIVERED, none),
+    ))).filter("vezes > 0")
     return cases.groupBy("tipo_inconsistencia").agg(
         F.sum(F.col("n_pagamentos") * F.col("vezes")).alias("qtd_casos"),
         total(F.col("total_pago") * F.col("vezes")).alias("total_envolvido"),
@@ -82,10 +82,10 @@ def liquidation_to_payment_days(a: Audit) -> DataFrame:
 def finished_payment_dates(a: Audit) -> DataFrame:
     """A liquidation whose invoice exists is a liquidation, so one test covers both."""
     status = (
-        F.when(facts.before_contract(), F.lit("PAGAMENTO_ANTES_DA_VIGENCIA"))
+        F.when(facts.before_contract(), F.lit(labels.FINISHED_BEFORE_TERM))
         .when(F.col("data_pagamento") == F.col("data_inicio_contrato"),
-              F.lit("PAGAMENTO_NO_INICIO_DA_VIGENCIA"))
-        .otherwise(F.lit("PAGAMENTO_DURANTE_VIGENCIA"))
+              F.lit(labels.FINISHED_ON_START))
+        .otherwise(F.lit(labels.FINISHED_DURING_TERM))
     )
     return (
         facts.payments(a, value=False, invoiced=True)
@@ -128,7 +128,7 @@ def early_payment_timeline(a: Audit) -> DataFrame:
             "data_pagamento",
             "dias_antecipacao",
             F.col("valor_pago").alias("valor_pago_indevido"),
-            F.lit("PAGAMENTO ANTECIPADO (Antes da vigência)").alias("gravidade_temporal"),
+            F.lit(labels.FINDING_EARLY).alias("gravidade_temporal"),
         )
     )
 
@@ -156,7 +156,7 @@ def finished_but_early(a: Audit) -> DataFrame:
         .orderBy("data_pagamento", "id_pagamento")
         .select("id_empenho", "id_contrato", F.col("nome_fornecedor").alias("fornecedor"),
                 "data_pagamento", "data_inicio_contrato", "valor_pago",
-                F.lit("FINALIZADO (COM DOC) MAS ANTECIPADO").alias("status_auditoria"))
+                F.lit(labels.FINDING_FINISHED_EARLY).alias("status_auditoria"))
     )
 
 
@@ -175,5 +175,5 @@ def irregular_advances(a: Audit) -> DataFrame:
         .orderBy("data_pagamento", "id_pagamento", "id_liq_empnf")
         .select("id_empenho", "id_contrato", F.col("nome_fornecedor").alias("fornecedor"),
                 "valor_pago", "data_pagamento", "data_inicio_contrato", "data_liquidacao",
-                F.lit("PAGAMENTO ANTES DO CONTRATO E DA LIQUIDAÇÃO").alias("tipo_infracao"))
+                F.lit(labels.FINDING_FULL_ADVANCE).alias("tipo_infracao"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import distinct_keys, having, lacking
 from lupafiscal.operators.registry import check
@@ -49,7 +50,7 @@ def contracts_without_commitment(a: Audit) -> DataFrame:
         "id_contrato",
         "valor_contrato",
         F.lit(None).cast("string").alias("id_empenho"),
-        F.lit("SEM_EMPENHO").alias("status_contrato_empenho"),
+        F.lit(labels.NO_COMMITMENT).alias("status_contrato_empenho"),
     )
 
 
