@@ -30,14 +30,14 @@ def payments_without_liquidation(a: Audit) -> DataFrame:
 
 @check("q05_invoice_status_of_unliquidated")
 def invoice_status_of_unliquidated(a: Audit) -> DataFrame:
-    flagged = facts.with_invoice_flag(a, _unliquidated(a))
+    flagged = facts.with_invoice_flags(a, _unliquidated(a))
     return flagged.groupBy(_invoice_status().alias("status_fiscal")).agg(
         F.count_distinct("id_pagamento").alias("qtd_pagamentos"))
 
 
 @check("c02_unliquidated_detail")
 def unliquidated_detail(a: Audit) -> DataFrame:
-    flagged = facts.with_invoice_flag(a, _unliquidated(a))
+    flagged = facts.with_invoice_flags(a, _unliquidated(a))
     return flagged.select("id_empenho", "id_pagamento", "valor_pago", "data_pagamento",
                           _invoice_status().alias("status_fiscal_pagamento")).distinct()
 
@@ -45,7 +45,7 @@ def unliquidated_detail(a: Audit) -> DataFrame:
 @check("q07_fiscal_integrity")
 def fiscal_integrity(a: Audit) -> DataFrame:
     """Every payment with every liquidation of its commitment, as the report lists them."""
-    paid = facts.with_invoice_flag(
+    paid = facts.with_invoice_flags(
         a, facts.payment_rows(a).select("id_empenho", "id_pagamento", "valor_pago"))
     known = a.table("empenho", "id_empenho")
     delivered = having(facts.liquidation_rows(a), known, "id_empenho").select(

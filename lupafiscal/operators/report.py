@@ -11,7 +11,7 @@ from lupafiscal import labels
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import spread_join
 from lupafiscal.functions.money import DIFFERENCE, TOTAL, total
-from lupafiscal.operators import invoices, openings, volumes
+from lupafiscal.operators import invoices, volumes
 from lupafiscal.operators.registry import check
 from lupafiscal.plans import facts
 from lupafiscal.plans.facts import COUNT, FLAG, WITH, WITHOUT
@@ -136,18 +136,21 @@ def _commitment_figures(a: Audit) -> DataFrame:
 
 
 def _payment_figures(a: Audit) -> DataFrame:
-    """One pass over the payments, for all figures that need no liquidation date."""
-    rows = facts.payments(a, value=False, contract="left", liquidation=FLAG)
-    rows = facts.with_invoice_flag(a, rows)
-    named = facts.bodies(a).select("id_entidade", F.lit(True).alias("_named"))
-    rows = rows.join(named, "id_entidade", "left")
+    """One pass over the payments, for all figures that need no liquidation date.
+
+    Summed per commitment first; whether its body and supplier are known, which
+    the lists of problems and of open commitments ask, is looked up after that.
+    """
+    rows = facts.payments(a, contract="left", liquidation=FLAG)
+    rows = facts.with_invoice_flags(a, rows)
     over, early = facts.over_contract(), facts.before_contract()
     unliquidated = ~F.col("tem_liquidacao")
     excess = F.col("valor_pago") - F.col("valor_contrato")
-    # payments without contract or body are in no body's list
-    problem = F.col("_named") & F.col("valor_contrato").isNotNull() & (over | unliquidated)
-    risk = F.when(over, excess).otherwise(F.col("valor_pago"))
-    per_commitment = rows.groupBy("id_empenho").agg(
+    contracted = F.col("valor_contrato").isNotNull()
+    problem = contracted & (over | unliquidated)
+    still_open = (contracted & unliquidated & ~F.col("tem_registro_nfe")
+                  & (F.col("valor_empenhado") > F.col("valor_contrato")))
+    per_commitment = rows.groupBy("id_empenho", "id_entidade", "id_fornecedor", "valor_contrato").agg(
         F.count_if(facts.before_commitment()).alias("antes_empenho"),
         F.count_if(early).alias("antes_contrato"),
         F.count_if(over).alias("acima"),
@@ -156,15 +159,24 @@ def _payment_figures(a: Audit) -> DataFrame:
         F.count_if(unliquidated & ~F.col("tem_nfe_pagamento")).alias("sem_nada"),
         F.sum(F.when(over, excess)).alias("excesso"),
         F.max(problem).alias("problema"),
-        F.sum(F.when(problem, risk)).alias("risco"),
+        F.sum(F.when(problem, F.when(over, excess).otherwise(F.col("valor_pago")))).alias("risco"),
+        F.sum(F.when(still_open, F.col("valor_pago"))).alias("aberto"),
     )
-    counts = ["antes_empenho", "antes_contrato", "acima", "acima_antes", "acima_sem", "sem_nada"]
+    body = facts.bodies(a).select("id_entidade", F.lit(True).alias("_body"))
+    supplier = facts.suppliers(a).select("id_fornecedor", F.lit(True).alias("_supplier"))
+    per_commitment = per_commitment.join(body, "id_entidade", "left").join(
+        supplier, "id_fornecedor", "left")
+    listed = F.col("_body") & F.col("problema")
+    opened = F.col("_supplier") & F.col("aberto").isNotNull()
+    counts = ["antes_empenho", "antes_contrato", "acima", "acima_antes", "acima_sem", "sem_nada", "excesso"]
     zero = F.lit(0)
     return _metrics(
         per_commitment.agg(
             *[F.coalesce(F.sum(c), zero).alias(c) for c in counts],
-            *[F.coalesce(F.sum(c), zero).alias(c) for c in ("excesso", "risco")],
-            F.count_if("problema").alias("problemas"),
+            F.count_if(listed).alias("problemas"),
+            F.coalesce(F.sum(F.when(listed, F.col("risco"))), zero).alias("risco"),
+            F.count_if(opened).alias("abertos"),
+            F.count_if(opened & (F.col("aberto") > F.col("valor_contrato"))).alias("abertos_pagos"),
         ),
         pagamentos_antes_do_empenho="antes_empenho",
         pagamentos_antes_do_contrato="antes_contrato",
@@ -175,6 +187,8 @@ def _payment_figures(a: Audit) -> DataFrame:
         excesso_sobre_contratos="excesso",
         empenhos_problematicos="problemas",
         impacto_financeiro_total="risco",
+        empenhos_abertos_acima_do_contrato="abertos",
+        empenhos_abertos_com_excesso_pago="abertos_pagos",
     )
 
 
@@ -200,8 +214,6 @@ def _day_figures(a: Audit) -> DataFrame:
 @check("s01_audit_summary")
 def audit_summary(a: Audit) -> DataFrame:
     """The headline figures as rows (metrica, valor); each part ends in one row."""
-    open_over = openings.real_excess_paid(a).agg(
-        F.count("*").alias("n"), F.count_if(F.col("excesso_pago_real") > 0).alias("pagos"))
     backed = invoices.modus_operandi(a).agg(
         F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
 
@@ -215,8 +227,6 @@ def audit_summary(a: Audit) -> DataFrame:
         _metrics(volumes.total_contracts(a), contratos_registrados="total_contratos"),
         _metrics(size(volumes.contracts_without_commitment(a)), contratos_sem_empenho="n"),
         _metrics(volumes.total_suppliers(a), fornecedores_cadastrados="total_fornecedores"),
-        _metrics(open_over, empenhos_abertos_acima_do_contrato="n",
-                 empenhos_abertos_com_excesso_pago="pagos"),
         _metrics(size(invoices.invoice_divergence(a)), notas_com_valor_divergente="n"),
         _metrics(size(invoices.paid_over_invoices(a)), empenhos_pagos_acima_das_notas="n"),
         _metrics(backed, pagamentos_irregulares_com_nota="coalesce(n, 0)",

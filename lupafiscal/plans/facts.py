@@ -169,14 +169,19 @@ def without_invoice_payment(a: Audit, rows: DataFrame) -> DataFrame:
     return lacking(rows, recorded, "id_pagamento")
 
 
-def with_invoice_flag(a: Audit, rows: DataFrame) -> DataFrame:
-    """Adds ``tem_nfe_pagamento``: the payment's invoice payment names an invoice."""
-    if "tem_nfe_pagamento" in rows.columns:
+def with_invoice_flags(a: Audit, rows: DataFrame) -> DataFrame:
+    """Adds ``tem_registro_nfe``: the payment has an invoice payment, and
+    ``tem_nfe_pagamento``: that invoice payment names an invoice."""
+    if "tem_registro_nfe" in rows.columns:
         return rows
     links = a.table("nfe_pagamento", "id", "chave_nfe").select(
-        F.col("id").alias("id_pagamento"), F.col("chave_nfe").alias("_chave"))
+        F.col("id").alias("id_pagamento"), F.lit(True).alias("_recorded"),
+        F.col("chave_nfe").alias("_chave"))
     return rows.join(links, "id_pagamento", "left").select(
-        *rows.columns, F.col("_chave").isNotNull().alias("tem_nfe_pagamento"))
+        *rows.columns,
+        F.col("_recorded").isNotNull().alias("tem_registro_nfe"),
+        F.col("_chave").isNotNull().alias("tem_nfe_pagamento"),
+    )
 
 
 def open_payments(a: Audit, *, value: bool = True) -> DataFrame:

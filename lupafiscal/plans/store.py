@@ -28,14 +28,7 @@ def payment_fact(a: Audit) -> DataFrame:
     side = side.join(known, "id_contrato", "left")
     side = side.withColumn("contrato_existe", F.col("_known").isNotNull()).drop("_known")
     fact = spread_join(facts.payment_rows(a), side, "id_empenho")
-    links = a.table("nfe_pagamento", "id", "chave_nfe").select(
-        F.col("id").alias("id_pagamento"), F.lit(True).alias("_recorded"),
-        F.col("chave_nfe").alias("_chave"))
-    return fact.join(links, "id_pagamento", "left").select(
-        *fact.columns,
-        F.col("_recorded").isNotNull().alias("tem_registro_nfe"),
-        F.col("_chave").isNotNull().alias("tem_nfe_pagamento"),
-    )
+    return facts.with_invoice_flags(a, fact)
 
 
 def write_payment_fact(a: Audit, path: str) -> None:

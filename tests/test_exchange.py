@@ -97,6 +97,24 @@ def test_parquet_round_trip(spark, tmp_path):
         assert tables.rows_of(back.table(name, *columns)) == tables.rows_of(source.table(name, *columns))
 
 
+def test_parquet_with_narrow_ids(spark, tmp_path):
+    """Files written with 32-bit ids are read as 64-bit ones."""
+    root = str(tmp_path / "tables")
+    df = spark.createDataFrame([(7, "Alfa", "007")], "id_fornecedor int, nome string, documento string")
+    df.write.parquet(f"{root}/fornecedor")
+    rows = parquet.open_audit(spark, root).table("fornecedor", "id_fornecedor", "documento")
+    assert rows.schema["id_fornecedor"].dataType == T.LongType()
+    assert rows.collect() == [(7, "007")]
+
+
+def test_sized_settings():
+    from lupafiscal import session
+
+    assert session.sized_for(1 << 20)["spark.sql.shuffle.partitions"] == "8"
+    large = session.sized_for(100 * 10**12)
+    assert int(large["spark.sql.shuffle.partitions"]) * (128 << 20) >= 100 * 10**12
+
+
 PAYMENT_CHECKS = sorted(n for n in CHECKS if n[0] in "qgcmrs" and n not in ("m02_csv_sink", "m03_csv_source"))
 
 
@@ -125,9 +143,11 @@ def test_stored_fact_needs_no_join(stored, settings):
 
 
 def test_jdbc_slices():
-    options = jdbc.read_options("pagamento", "jdbc:x", jdbc.Slices("datapagamentoemp", "2020-01-01", "2024-12-31", 64))
+    slices = jdbc.Slices("datapagamentoemp", "2020-01-01", "2024-12-31", 64)
+    options = jdbc.read_options("pagamento", "jdbc:x", slices)
     assert options["partitionColumn"] == "datapagamentoemp"
-    assert (options["lowerBound"], options["upperBound"], options["numPartitions"]) == ("2020-01-01", "2024-12-31", "64")
+    bounds = (options["lowerBound"], options["upperBound"], options["numPartitions"])
+    assert bounds == ("2020-01-01", "2024-12-31", "64")
     assert "partitionColumn" not in jdbc.read_options("entidade", "jdbc:x", None)
     for table, column in jdbc.SLICE_COLUMNS.items():
         assert not isinstance(SCHEMAS[table][column].dataType, T.StringType)
@@ -145,7 +165,8 @@ class Session:
 def test_shared_folder_is_the_clusters():
     from lupafiscal import session
 
-    assert session.new_run_folder(Session("yarn", "/shared/scratch/"), "x").startswith("/shared/scratch/x-")
+    folder = session.new_run_folder(Session("yarn", "/shared/scratch/"), "x")
+    assert folder.startswith("/shared/scratch/x-")
     with pytest.raises(ValueError):
         session.shared_folder(Session("yarn", None))
     assert session.shared_folder(Session("local[2]", None))
