@@ -183,3 +183,19 @@ def test_widths_of_totals(spark):
     df = spark.range(3).select(F.lit("9999999999999.99").cast("decimal(15,2)").alias("v"))
     from lupafiscal.functions.money import total
     assert df.agg(total("v").alias("t")).first()["t"] == Decimal("29999999999999.97")
+
+
+def test_command(spark, tmp_path):
+    from lupafiscal.__main__ import main
+
+    source = tables.audit(spark, tables.hand_made())
+    root, out, fact = (str(tmp_path / n) for n in ("tables", "out", "fact"))
+    parquet.write_tables(source, root)
+    name = "q24_payment_over_ceiling_summary"
+    main(["--tables", root, "--out", out, "--new-fact", fact, name])
+    expected = run(name, source)
+    assert tables.rows_of(ptbr_csv.read(spark, f"{out}/{name}", expected.schema)) == tables.rows_of(expected)
+    main(["--tables", root, "--out", f"{out}2", "--fact", fact, "--format", "parquet", name])
+    assert tables.rows_of(spark.read.parquet(f"{out}2/{name}")) == tables.rows_of(expected)
+    with pytest.raises(SystemExit):
+        main(["--tables", root, "--out", out, "no_such_check"])
