@@ -2,8 +2,9 @@
 
 ``TABLES`` are the audit tables as SQL, ``VIEWS`` what several checks start
 from.  Each check lists only its own SELECT; the needed definitions are put in
-front.  Quoted labels and column names are fixed values.  Rows are paired here where the Spark job counts and multiplies, so the
-comparison also tests that rewriting.
+front.  Quoted labels and column names are fixed values.  Rows are paired here
+where the Spark job counts and multiplies, so the comparison also tests that
+rewriting.
 """
 
 from __future__ import annotations

@@ -49,7 +49,8 @@ def skewed(spark, hot_liquidations: int = 0, hot_contract: bool = False, hot_inv
     owner = F.when(n % 3 == 0, 0).otherwise(n % others)
     payments = spark.range(0, ROWS, 1, 8).select(
         F.concat(F.lit("P"), F.md5(n.cast("string"))).alias("id_pagamento"), key(owner).alias("id_empenho"),
-        day(F.pmod(F.xxhash64(n), F.lit(400))).alias("datapagamentoemp"), money(F.xxhash64(n) % 600 / 2 + 300).alias("valor"))
+        day(F.pmod(F.xxhash64(n), F.lit(400))).alias("datapagamentoemp"),
+        money(F.xxhash64(n) % 600 / 2 + 300).alias("valor"))
     liquidations = spark.range(0, 10_000, 1, 8).select(
         n.alias("id_liq_empnf"),
         F.concat(F.lit("N"), F.when((n % 3 == 0) & F.lit(hot_invoice), 0).otherwise(n).cast("string"))
