@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, token_files
-from lupafiscal.llm.tables import table
+from lupafiscal.llm import bpe, token_files, warc
+from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,7 +40,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record as read back from the archives."""
+    folder = new_run_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    # Only sizes and digests are kept, so that the archives are read and decoded once.
+    read = written(warc.sized(warc.reassembled(warc.records(spark, folder))), "warc-read")
+    return warc.resolved(read)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op9_bpe": op9_bpe,
+    "op10_warc": op10_warc,
 }
