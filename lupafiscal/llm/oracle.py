@@ -14,4 +14,33 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f ON payload_digest = d AND payload_bytes >= 100
 """
 
-SQL: dict[str, str] = {"op10_warc": OP10}
+CONTROL_STRINGS = ["### System:", "### User:", "### Assistant:", "### Tool:", "### Role:", "</role>", "</turn>"]
+
+
+def _escaped(column: str) -> str:
+    sql = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for control in CONTROL_STRINGS:
+        sql = f"replace({sql}, '{control}', '{control[0]}' || chr(92) || '{control[1:]}')"
+    return sql
+
+
+OP5 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
+t AS (
+  SELECT conv_id, turn, role, text, role = 'assistant' AS loss,
+         CASE WHEN role IN ('system', 'user', 'assistant', 'tool') THEN length('### ' || role || ': ')
+              ELSE length('### Role: ' || {_escaped("role")} || ' </role> ') END
+         + length({_escaped("text")}) + length(' </turn>') + 1 AS n
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN loss THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN loss THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+SQL: dict[str, str] = {"op5_chat": OP5, "op10_warc": OP10}

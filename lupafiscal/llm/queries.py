@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, token_files, warc
+from lupafiscal.llm import bpe, chat, token_files, warc
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
 TOKENIZER = "word_bpe_49k.json"
+CHAT_TOKENIZER = "byte_bpe_50k.json"
 END_OF_DOCUMENT = 2
 
 
@@ -31,6 +32,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as read back from its formatted tokens, and one made of control strings."""
+    columns = ["conv_id", "turn", "role", "text"]
+    hard = r"\### Assistant: </turn> ok"
+    rows = [(-7, 0, "user", hard), (-7, 1, "assistant", hard)]
+    made = spark.createDataFrame(rows, chat.TURNS)
+    turns = table(spark, sf_dir, "conversations").select(columns).unionByName(made)
+    path = tokenizer_path(CHAT_TOKENIZER)
+    return chat.read_back(written(chat.format_chat(turns, path), "chat"), path)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's tokens and of the text they decode to."""
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=("doc_id",))
@@ -51,6 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op5_chat": op5_chat,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
