@@ -14,6 +14,33 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f ON payload_digest = d AND payload_bytes >= 100
 """
 
+def _words(column: str) -> str:
+    lower = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP2 = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text")} AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(13, len(w)) AS size,
+         array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS phrase
+  FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_words("text")} AS w FROM documents),
+grams AS (
+  SELECT r, size, unnest(range(1, len(w) - size + 2)) AS i,
+         unnest([array_to_string(w[i : i + size - 1], ' ') for i in range(1, len(w) - size + 2)]) AS phrase
+  FROM d, sizes WHERE len(w) >= size),
+hit AS (SELECT r, i, size, item FROM grams JOIN win USING (size, phrase)),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + size)) AS j FROM hit) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered c USING (r) LEFT JOIN items t USING (r)
+"""
+
 CONTROL_STRINGS = ["### System:", "### User:", "### Assistant:", "### Tool:", "### Role:", "</role>", "</turn>"]
 
 
@@ -43,4 +70,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op5_chat": OP5, "op10_warc": OP10}
+SQL: dict[str, str] = {"op2_decontamination": OP2, "op5_chat": OP5, "op10_warc": OP10}
