@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, chat, decontamination, token_files, warc
+from lupafiscal.llm import bpe, chat, decontamination, quality, token_files, warc
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
@@ -54,6 +54,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_chat(turns, path), "chat"), path)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, score and verdict for each document."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(documents, labels)
+    return quality.score(documents, model, keep=("doc_id",))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's tokens and of the text they decode to."""
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=("doc_id",))
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op5_chat": op5_chat,
+    "op6_quality": op6_quality,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
