@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, chat, decontamination, quality, token_files, warc
+from lupafiscal.llm import bpe, chat, decontamination, ngram_join, quality, token_files, warc
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
@@ -23,6 +23,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near-duplicates and its number of links."""
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_of", "n_links")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document shares with the benchmark."""
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -80,6 +86,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
     "op5_chat": op5_chat,
