@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, chat, decontamination, ngram_join, quality, token_files, warc
+from lupafiscal.llm import bpe, chat, decontamination, ngram_join, quality, suffix_dedup, token_files, warc
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
@@ -67,6 +67,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, model, keep=("doc_id",))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document that other documents have too."""
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumn("repeated", F.col("n_repeated") > 0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's tokens and of the text they decode to."""
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=("doc_id",))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
