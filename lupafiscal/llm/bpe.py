@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lupafiscal.llm import words
+from lupafiscal.llm.tables import map_arrow
 
 # What the vocabulary file must say for the splitting below to hold.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -58,6 +59,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 KINDS, LOWER = _tables()
 
 
+@functools.cache
 def library(path: str):
     """The tokenizers library's own object for the file, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,17 +71,23 @@ def library(path: str):
     return tokenizer
 
 
+def checked(path: str) -> dict:
+    """The file's BPE model; raises where its texts are split in another way than here."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    model = content["model"]
+    steps = [x["type"] for x in content["normalizer"]["normalizers"]]
+    split = content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    if model["type"] != "BPE" or steps != NORMALIZERS or split != PATTERN:
+        raise ValueError(f"{path}: not a word-end BPE file with the known splitting")
+    return model
+
+
 class Trie:
     """Encodes distinct words with the merges of a vocabulary file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            content = json.load(file)
-        model = content["model"]
-        steps = [x["type"] for x in content["normalizer"]["normalizers"]]
-        split = content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        if model["type"] != "BPE" or steps != NORMALIZERS or split != PATTERN:
-            raise ValueError(f"{path}: not a word-end BPE file with the known splitting")
+        model = checked(path)
         self.suffix: str = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         merges = (tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"])
@@ -154,7 +162,7 @@ def trie_encoder(path: str) -> Encoder:
 @functools.cache
 def library_encoder(path: str) -> Encoder:
     """As ``trie_encoder``, but each distinct word goes to the library's BPE model."""
-    Trie(path)  # refuses files whose words are split otherwise
+    checked(path)
     model, spelling = library(path).model, _byte_characters()
 
     def encode(plain_words: list[str]) -> list[list[int]]:
@@ -340,5 +348,5 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"{kinds}{', ' if kinds else ''}n_tokens long, ids binary, decoded string"
-    out = source.mapInArrow(run, schema)
+    out = map_arrow(source, run, schema)
     return out.toDF(*keep, "n_tokens", "ids", "decoded")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal.llm.tables import map_arrow
+
 # Roles with a marker of their own; any other is written between ROLE and ROLE_END.
 ROLES = ["system", "user", "assistant", "tool"]
 LOSS_ROLE = "assistant"
@@ -133,7 +135,7 @@ def encoded_turns(df: DataFrame, path: str) -> DataFrame:
         F.col("text").cast("string"), F.xxhash64("role", "text").alias("tie"),
     )
     schema = "conv_id long, turn long, tie long, ids array<int>, loss_from int, loss_to int, n_chars long"
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def format_chat(
@@ -171,7 +173,7 @@ def format_chat(
                 [batch.column("conv_id"), *columns, *own], [f.split()[0] for f in FORMATTED.split(", ")]
             )
 
-    return ordered.mapInArrow(run, FORMATTED)
+    return map_arrow(ordered, run, FORMATTED)
 
 
 DIGESTS = (
@@ -236,6 +238,6 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
         if current:
             yield done()
 
-    decoded = formatted.mapInArrow(texts, "conv_id long, position long, said string, loss string, n_chars long")
+    decoded = map_arrow(formatted, texts, "conv_id long, position long, said string, loss string, n_chars long")
     ordered = decoded.repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return ordered.mapInArrow(digests, DIGESTS)
+    return map_arrow(ordered, digests, DIGESTS)

@@ -16,3 +16,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_run_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of a few megabytes, as texts can be long.
+
+    Sets the session's batch size, unless it is smaller already.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(conf.get(key)) > BATCH_BYTES or _bytes(conf.get(key)) <= 0:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
+def _bytes(setting: str) -> int:
+    units = {"b": 0, "k": 10, "m": 20, "g": 30}
+    number = setting.strip().lower().rstrip("bkmg")
+    unit = setting.strip().lower()[len(number) :][:1] or "b"
+    return int(number) << units[unit]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lupafiscal.llm import bpe, words
+from lupafiscal.llm.tables import map_arrow
 
 MASK_DELTA = 0xA282EAD8
 RECORDS_PER_FILE = 16_384
@@ -107,7 +108,7 @@ def write(
                 yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
 
     (
-        rows.mapInArrow(run, "record binary")
+        map_arrow(rows, run, "record binary")
         .select(F.col("record").cast("string").alias("value"))
         .write.option("lineSep", TERMINATOR.decode())
         .option("maxRecordsPerFile", records_per_file)
@@ -135,7 +136,7 @@ def scan(spark: SparkSession, folder: str, path: str, end_id: int) -> DataFrame:
                 )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("path", "content").mapInArrow(run, INDEX)
+    return map_arrow(files.select("path", "content"), run, INDEX)
 
 
 def write_index(spark: SparkSession, folder: str, index_folder: str, path: str, end_id: int) -> DataFrame:
@@ -183,4 +184,5 @@ def read_records(spark: SparkSession, index: DataFrame, path: str, end_id: int)
     if not folder:
         return spark.createDataFrame([], "doc_id long, ids array<int>")
     files = spark.read.format("binaryFile").load(folder[0].path.rpartition("/")[0]).select("path", "content")
-    return files.join(wanted, "path").select("content", "places").mapInArrow(run, "doc_id long, ids array<int>")
+    placed = files.join(wanted, "path").select("content", "places")
+    return map_arrow(placed, run, "doc_id long, ids array<int>")

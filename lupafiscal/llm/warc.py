@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lupafiscal.llm.tables import map_arrow
+
 DEDUP_BYTES = 100
 CHUNK_BYTES = 4096
 SEGMENT_BYTES = 16 << 10
@@ -148,7 +150,7 @@ def write(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (
-        rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        map_arrow(rows, run, "record binary").select(F.col("record").cast("string").alias("value"))
         .write.option("lineSep", END).option("compression", "gzip")
         .option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
     )
@@ -204,7 +206,7 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
                 yield _batch(list(parsed(content.as_py())), RECORDS)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("content").mapInArrow(run, RECORDS)
+    return map_arrow(files.select("content"), run, RECORDS)
 
 
 def reassembled(found: DataFrame) -> DataFrame:
@@ -246,7 +248,7 @@ def reassembled(found: DataFrame) -> DataFrame:
                     out, size = [], 0
             yield _batch(out, PAGES)
 
-    return single.unionByName(cut).mapInArrow(run, PAGES)
+    return map_arrow(single.unionByName(cut), run, PAGES)
 
 
 def joined(record_id: str, parts: list[dict]) -> bytes:
