@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, chat, decontamination, ngram_join, quality, suffix_dedup, token_files, warc
+from lupafiscal.llm import bpe, chat, decontamination, ngram_join, quality, secret_scan, suffix_dedup, token_files, warc
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
@@ -73,6 +73,20 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("repeated", F.col("n_repeated") > 0)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in each document, by pattern and by model."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    counts = [
+        F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as long)").alias(f"n_{name}")
+        for k, name in enumerate(secret_scan.KINDS[:3])
+    ]
+    spans = secret_scan.written_spans
+    return found.select(
+        "doc_id", *counts, F.sha2(spans(F.col("base")), 256).alias("base_sha256"),
+        spans(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_model"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's tokens and of the text they decode to."""
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), keep=("doc_id",))
@@ -98,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
