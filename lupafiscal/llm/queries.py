@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, chat, decontamination, ngram_join, quality, secret_scan, suffix_dedup, token_files, warc
+from lupafiscal.llm import bpe, chat, decontamination, line_dedup, ngram_join, quality, secret_scan, suffix_dedup, token_files, warc
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
@@ -49,6 +49,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that each document loses."""
+    found = line_dedup.per_document(table(spark, sf_dir, "documents"))
+    return found.select(F.col("d").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation as read back from its formatted tokens, and one made of control strings."""
     columns = ["conv_id", "turn", "role", "text"]
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
     "op3_token_files": op3_token_files,
+    "op4_line_dedup": op4_line_dedup,
     "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
