@@ -250,13 +250,14 @@ def verified(df: DataFrame, text: str, grouped: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``class_id``, ``copy_of``, ``n_links`` and ``t``, the MD5 of its text.
+    """Per row: ``doc_id``, ``class_id``, ``copy_of``, ``n_links``, ``t`` (MD5 of its text) and ``component``.
 
     ``class_id`` is the least id of the texts that links connect, ``copy_of`` the
     least id with the same set of shingles, ``n_links`` the number of other rows
     whose shingles have a Jaccard similarity of 0.8 or more with the row's, copies
-    included.  A null or empty text, or one of blanks only, has no shingles and is
-    linked to nothing.  Repeated rows are copies of each other.  A null id is never
+    included.  ``component`` is a number for ``class_id`` that repeated ids cannot
+    confuse.  A null or empty text, or one of blanks only, has no shingles, is linked
+    to nothing and has no component.  Repeated rows are copies of each other.  A null id is never
     the least one, unless there is no other.  Other columns are left out.
     """
     rows = written(signed(df, doc_id, text), "signed")
@@ -279,10 +280,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     )
     least = named.groupBy("root").agg(F.min("copy_of").alias("class_id"))
     named = named.join(least, "root").select(
-        F.col("s").alias("of"), "class_id", "copy_of", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        F.col("s").alias("of"), F.col("root").alias("component"), "class_id", "copy_of", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     joined = rows.select("d", "t", "n", "s").join(named, (F.col("s") == F.col("of")) & (F.col("n") > 0), "left")
     return joined.select(
         F.col("d").alias("doc_id"), F.coalesce("class_id", "d").alias("class_id"),
-        F.coalesce("copy_of", "d").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "t",
+        F.coalesce("copy_of", "d").alias("copy_of"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "t", "component",
     )
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates, that of the least id (of the least text hash, on ties).
+
+    Rows without shingles all stay.
+    """
+    found = near_duplicates(df, doc_id, text)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
+    least = found.filter("component is not null").groupBy("component").agg(F.min(order).alias("m"))
+    kept = least.select(F.col("m.t").alias("kept_t"), F.col("m.doc_id").alias("kept_d"), F.lit(True).alias("one"))
+    bare = found.filter("component is null").select(
+        F.col("t").alias("kept_t"), F.col("doc_id").alias("kept_d"), F.lit(False).alias("one")
+    )
+    name = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(doc_id).cast("long").alias("own_d"), name.alias("own_t"))
+    joined = rows.join(
+        kept.unionByName(bare).distinct(), (F.col("own_t") == F.col("kept_t")) & F.col("own_d").eqNullSafe(F.col("kept_d"))
+    )
+    single = joined.filter("one").dropDuplicates(["own_t"]).select("row")
+    return single.unionByName(joined.filter("not one").select("row")).select("row.*")
