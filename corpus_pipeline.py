@@ -16,19 +16,20 @@ from lupafiscal.llm.queries import tokenizer_path
 from lupafiscal.llm.tables import table, written
 
 
+def _as_rows(docs: DataFrame) -> DataFrame:
+    """The text, and all columns in one, so that none can clash with a result."""
+    return docs.select("text", F.struct(*docs.columns).alias("row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the trained ratio keep."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=tuple(docs.columns)).filter("kept").select(docs.columns)
+    return quality.score(_as_rows(docs), model, keep=("row",)).filter("kept").select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that came before, themselves or much alike; those left without a line go."""
-    found = line_dedup.deduplicated(docs)
-    changed = F.size("removed") > 0
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.filter(~changed | (F.size("removed") < F.col("n_lines"))).select(docs.columns)
+    return line_dedup.deduplicated(docs, n_chars="n_chars" if "n_chars" in docs.columns else None, emptied=False)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,8 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is in benchmark phrases."""
-    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.filter(~decontamination.contaminated()).select(docs.columns)
+    found = decontamination.find(_as_rows(docs), table(spark, sf_dir, "benchmark"), keep=("row",))
+    return found.filter(~decontamination.contaminated()).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

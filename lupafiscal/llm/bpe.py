@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lupafiscal.llm import words
-from lupafiscal.llm.tables import map_arrow
+from lupafiscal.llm.tables import keeping, map_arrow
 
 # What the vocabulary file must say for the splitting below to hold.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -322,15 +323,21 @@ def decoded(flat: np.ndarray, offsets: np.ndarray, path: str) -> list[str]:
     return [" ".join(tokens[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
+RESULTS = "n_tokens long, ids binary, decoded string"
+
+
 def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row's ``keep`` columns, ``n_tokens``, ``ids`` (little-endian 32-bit) and ``decoded``.
 
     A null or empty text has no tokens and decodes to the empty text.  Rows are
     independent: repeated rows come out repeatedly, an empty table stays empty,
-    other columns are left out and may have any name.
+    other columns are left out and may have any name; a kept one named as a result
+    gives way.
     """
-    source = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("t"))
-    kinds = ", ".join(f"k{i} {dict(df.dtypes)[c]}" for i, c in enumerate(keep))
+    names, columns, fields = keeping(df, keep, RESULTS)
+    source = df.select(*columns, F.col(text).cast("string").alias("t"))
+
+    results = StructType.fromDDL(RESULTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = trie_encoder(path)
@@ -338,15 +345,13 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
             for texts in words.slices(batch.column("t")):
                 flat, at = encoder.ids(texts)
                 content, limits = flat.astype("<u4").tobytes(), (at * 4).tolist()
-                columns = [batch.column(i).slice(texts.first, texts.rows) for i in range(len(keep))]
-                columns += [
+                found = [batch.column(i).slice(texts.first, texts.rows) for i in range(len(names))]
+                found += [
                     pa.array(np.diff(at), pa.int64()),
                     pa.array([content[a:b] for a, b in zip(limits, limits[1:], strict=False)], pa.binary()),
                     pa.array(decoded(flat, at, path), pa.string()),
                 ]
-                names = [f"k{i}" for i in range(len(keep))] + ["n_tokens", "ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                yield pa.RecordBatch.from_arrays(found, [*(f"k{i}" for i in range(len(names))), *results.fieldNames()])
 
-    schema = f"{kinds}{', ' if kinds else ''}n_tokens long, ids binary, decoded string"
-    out = map_arrow(source, run, schema)
-    return out.toDF(*keep, "n_tokens", "ids", "decoded")
+    out = map_arrow(source, run, StructType([*fields, *results.fields]))
+    return out.toDF(*names, *results.fieldNames())

@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lupafiscal.llm import words
-from lupafiscal.llm.tables import map_arrow
+from lupafiscal.llm.tables import keeping, map_arrow
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -63,7 +64,9 @@ class Phrases:
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """The phrase word of each hash, or 0."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), max(0, self.size - 1))
+        if not self.size:
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), self.size - 1)
         return np.where(self.keys[at] == hashes, self.numbers[at], 0).astype(np.int32)
 
 
@@ -291,15 +294,16 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[st
     whole; an item without words has none.  ``n_hit``: words in any occurrence;
     ``items``: ids, in order; ``spans``: merged word ranges; ``removals``: the same
     in characters.  Null and empty texts have no words.  Repeated rows come out
-    repeatedly; other columns are left out and may have any name.
+    repeatedly; other columns are left out and may have any name; a kept one named
+    as a result gives way.
     """
-    names = [f"k{i}" for i in range(len(keep))]
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{n} {kinds[c]}" for n, c in zip(names, keep, strict=True)), "t string", STATE])
-    rows = df.select(*[F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], F.col(text).cast("string").alias("t"))
+    names, columns, fields = keeping(df, keep, STATE)
+    state = StructType.fromDDL(STATE)
+    schema = StructType([*fields, StructField("t", StringType()), *state.fields])
+    rows = df.select(*columns, F.col(text).cast("string").alias("t"))
     for i, phrases in enumerate(phrase_blocks(benchmark)):
-        rows = map_arrow(rows, _pass(phrases, len(keep), first=i == 0), schema)
-    return rows.drop("t").toDF(*keep, *(f.split()[0] for f in STATE.split(", ")))
+        rows = map_arrow(rows, _pass(phrases, len(names), first=i == 0), schema)
+    return rows.drop("t").toDF(*names, *state.fieldNames())
 
 
 def _pass(phrases: Phrases, kept: int, first: bool):
@@ -317,7 +321,7 @@ def _pass(phrases: Phrases, kept: int, first: bool):
                 [*(batch.column(i) for i in range(kept)), column, pa.array(n_words, pa.int64()),
                  pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())),
                  pa.array(spans, _SPANS), pa.array(removals, _REMOVALS)],
-                [*(f"k{i}" for i in range(kept)), "t", *(f.split()[0] for f in STATE.split(", "))],
+                [*(f"k{i}" for i in range(kept)), "t", "n_words", "n_hit", "items", "spans", "removals"],
             )
 
     return run
@@ -334,4 +338,4 @@ def without(text, removals):
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(removals, lambda r: r["end"]))
     ends = F.concat(F.transform(removals, lambda r: r["start"]), F.array(size.cast("long")))
     parts = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    return F.array_join(parts, "")
+    return F.when(text.isNotNull(), F.array_join(parts, ""))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lupafiscal.llm.tables import written
+from lupafiscal.llm.tables import keeping, written
 
 # The patterns.  Runs are maximal, so a least length in the pattern
 # finds what dropping short matches leaves.
@@ -62,10 +62,9 @@ def located(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
 
-def searched(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """Each row's ``keep`` columns (as k0, k1, ...), ``base`` spans and ``long`` strings."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], t.alias("t"))
+def searched(df: DataFrame, text: str, columns: list[Column]) -> DataFrame:
+    """Each row's ``columns``, its ``base`` spans and ``long`` strings."""
+    rows = df.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     t = F.col("t")
     assigned = F.filter(located(t, ASSIGN, 0, 1), lambda s: F.length(s["value"]) >= ASSIGN_LENGTH)
     rows = rows.withColumn("base", F.concat(assigned, located(t, ACCESS, 1), located(t, HEX, 2)))
@@ -126,15 +125,19 @@ def written_spans(spans: Column) -> Column:
     return F.array_join(each, ",")
 
 
+RESULTS = f"base {SPAN}, added {SPAN}"
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row's ``keep`` columns, ``base`` (spans by pattern) and ``added`` (spans by the models).
 
     A span has start, kind (a number in ``KINDS``), end and value, in characters.
     Added ones touch no base one and do not consist of digits alone.  A null or
     empty text has no spans; repeated rows come out repeatedly; other columns are
-    left out and may have any name.
+    left out and may have any name; a kept one named as a result gives way.
     """
-    found = written(searched(df, text, keep), "secrets")
+    names, columns, _ = keeping(df, keep, RESULTS)
+    found = written(searched(df, text, columns), "secrets")
     model = trained(found, df, doc_id, text)
 
     def is_secret(s: Column) -> Column:
@@ -142,4 +145,4 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[
         return ~touches & ~s["value"].rlike("^[0-9]+$") & (mean_ratio(s["value"], model) > THRESHOLD)
 
     added = F.when(F.size("long") > 0, F.filter("long", is_secret)).otherwise(F.col("long"))
-    return found.withColumn("added", added).drop("long").toDF(*keep, "base", "added")
+    return found.withColumn("added", added).drop("long").toDF(*names, "base", "added")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lupafiscal.session import new_run_folder
 
@@ -18,10 +20,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keeping(df: DataFrame, keep: tuple[str, ...], results: str) -> tuple[list[str], list[Column], list[StructField]]:
+    """Names, columns (as k0, k1, ...) and fields of what is kept beside an operator's results.
+
+    A kept column that has the name of a result gives way to it.
+    """
+    names = [c for c in keep if c not in StructType.fromDDL(results).fieldNames()]
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in names]
+    fields = [StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(names)]
+    return names, [c.alias(f"k{i}") for i, c in enumerate(quoted)], fields
+
+
 BATCH_BYTES = 8 << 20
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of a few megabytes, as texts can be long.
 
     Sets the session's batch size, unless it is smaller already.

@@ -53,7 +53,7 @@ def test_same_as_searching_each_window(spark, monkeypatch, block_bytes):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block_bytes)
     df = found(spark, ITEMS, rows())
     got = sorted(
-        ((r[0], r[1], r[3], r[4], r[5]) for r in df.collect()), key=str
+        ((r.doc_id, r.text, r.n_words, r.n_hit, r["items"]) for r in df.collect()), key=str
     )
     named = [(str(i) if i is not None else "", t) for i, t in ITEMS]
     want = sorted(((d, t, *brute_force(t, named)) for d, t in rows()), key=str)
@@ -71,7 +71,7 @@ def test_verdict(spark):
     df = found(spark, ITEMS, [(1, f"{PASSAGE} {long[:-1]}"), (2, f"{PASSAGE} {long}"), (3, f"{PASSAGE} zz {long}"), (4, "")])
     assert {r.doc_id for r in df.filter(decontamination.contaminated()).collect()} <= {1, 2}
     for row in df.withColumn("bad", decontamination.contaminated()).collect():
-        assert row.bad == (row.n_hit > 0 and 20 * row.n_hit >= row[3])
+        assert row.bad == (row.n_hit > 0 and 20 * row.n_hit >= row.n_words)
 
 
 def test_empty_tables(spark):
