@@ -29,11 +29,14 @@ ASSIGN_LENGTH = 6
 KINDS = ["assign", "access", "hex", "model"]
 
 LONG = r"[A-Za-z0-9+/_-]{20,}"
-WORD = r"[A-Za-z][A-Za-z0-9_]{3,}"
+# Ordinary words are shorter than the strings to be judged, so that those never train.
+WORD = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{3,18}(?![A-Za-z0-9_])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SYMBOLS = len(ALPHABET) + 1  # 0: any other character
 SMOOTHING = 20.0
-THRESHOLD = 0.3
+UNIFORM = 0.2  # share of a uniform model in each, so that steps neither has seen weigh little
+# Held-out ordinary strings score about -1.9, random ones 0 (letters of all kinds) to 1.3 (hexadecimal).
+THRESHOLD = -0.3
 ORDINARY_DOCUMENTS = 2000
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
@@ -86,7 +89,9 @@ def ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
         table = [[SMOOTHING / SYMBOLS] * SYMBOLS for _ in range(SYMBOLS)]
         for row in counted.collect():
             table[row.a][row.b] += row.n
-        tables.append([[math.log(x / sum(line)) for x in line] for line in table])
+        tables.append([
+            [math.log((1 - UNIFORM) * x / sum(line) + UNIFORM / SYMBOLS) for x in line] for line in table
+        ])
     return [r - o for left, right in zip(*tables, strict=True) for r, o in zip(left, right, strict=True)]
 
 
@@ -132,7 +137,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[
     """Each row's ``keep`` columns, ``base`` (spans by pattern) and ``added`` (spans by the models).
 
     A span has start, kind (a number in ``KINDS``), end and value, in characters.
-    Added ones touch no base one and do not consist of digits alone.  A null or
+    Added ones touch no base one and have digits and letters.  A null or
     empty text has no spans; repeated rows come out repeatedly; other columns are
     left out and may have any name; a kept one named as a result gives way.
     """
@@ -142,7 +147,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[
 
     def is_secret(s: Column) -> Column:
         touches = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~touches & ~s["value"].rlike("^[0-9]+$") & (mean_ratio(s["value"], model) > THRESHOLD)
+        mixed = s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
+        return ~touches & mixed & (mean_ratio(s["value"], model) > THRESHOLD)
 
     added = F.when(F.size("long") > 0, F.filter("long", is_secret)).otherwise(F.col("long"))
     return found.withColumn("added", added).drop("long").toDF(*names, "base", "added")

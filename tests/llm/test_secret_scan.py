@@ -54,7 +54,7 @@ def ordinary_strings(seed, n):
 
 
 def test_held_out_accuracy_and_spans(spark):
-    train = [(i, f"token={r} {' '.join(ordinary_strings(i, 8))}") for i, r in enumerate(random_strings(1, 400))]
+    train = [(i, f"token={r} {' '.join(ordinary_strings(i, 8)).replace('_', ' ')}") for i, r in enumerate(random_strings(1, 400))]
     held = [(1000 + i, f"see {s} here") for i, s in enumerate(random_strings(2, 200))]
     plain = [(2000 + i, f"see {s} here") for i, s in enumerate(ordinary_strings(90_001, 200))]
     found = {r.doc_id: r for r in secret_scan.scan(cases.documents(spark, train + held + plain), keep=("doc_id", "text")).collect()}
