@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import re
 
-from lupafiscal.functions.documents import CNPJ_WEIGHTS, CPF_WEIGHTS
-from lupafiscal.operators.quality import LARGEST_AMOUNT
-from lupafiscal.schemas import (
+from driverdata.rules import (
+    CNPJ_WEIGHTS,
+    COLUMNS,
+    CPF_WEIGHTS,
     FOREIGN_KEYS,
+    LARGEST_AMOUNT,
     PRIMARY_KEYS,
-    SCHEMAS,
     TEXT_LENGTHS,
     UNIQUE_COLUMNS,
     ForeignKey,
@@ -508,7 +509,7 @@ def _repeated_summary(columns: dict[str, str]) -> str:
 def _not_null() -> str:
     return " UNION ALL ".join(
         f"SELECT '{t}' AS tabela, COUNT(*) AS linhas, '{c}' AS coluna, COUNT(*) - COUNT({c}) AS nulos FROM {t}"
-        for t in SCHEMAS for c in required_columns(t))
+        for t in COLUMNS for c in required_columns(t))
 
 
 def _unknown(k: ForeignKey) -> str:
@@ -532,7 +533,7 @@ def _orphan_summary() -> str:
 
 def _domains() -> str:
     parts = []
-    for table in SCHEMAS:
+    for table in COLUMNS:
         for column, limit in TEXT_LENGTHS.get(table, {}).items():
             parts.append(
                 f"SELECT '{table}' AS tabela, '{column}' AS coluna, 'varchar({limit})' AS dominio, "
@@ -550,7 +551,7 @@ def _scan() -> str:
     return " UNION ALL ".join(
         f"SELECT '{t}' AS tabela, COUNT(*) AS linhas, COUNT(*) FILTER ("
         + " AND ".join(f"{c} IS NOT NULL" for c in required_columns(t))
-        + f") AS linhas_completas FROM {t}" for t in SCHEMAS)
+        + f") AS linhas_completas FROM {t}" for t in COLUMNS)
 
 
 def _documents() -> str:

@@ -1,17 +1,27 @@
-"""Run checks over Parquet tables and write each result."""
+"""Run checks over Parquet, CSV or database tables and write each result."""
 
 from __future__ import annotations
 
 import argparse
+import json
+from pathlib import Path
 
 from lupafiscal import CHECKS, run, session
+from lupafiscal.audit import Audit
 from lupafiscal.plans import store
-from lupafiscal.sources import parquet, ptbr_csv
+from lupafiscal.schemas import SCHEMAS
+from lupafiscal.sources import jdbc, parquet, ptbr_csv
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser("lupafiscal", description=__doc__)
-    parser.add_argument("--tables", required=True, help="folder with one Parquet folder per table")
+    source = parser.add_mutually_exclusive_group(required=True)
+    source.add_argument("--tables", help="folder with one Parquet folder per table")
+    source.add_argument("--csv-tables", help="folder with one Brazilian-format CSV folder per table")
+    source.add_argument("--jdbc", metavar="URL", help="database with the tables; see --properties")
+    parser.add_argument("--properties", metavar="FILE", help="JSON object: driver, user, password and the like")
+    parser.add_argument("--slices", type=int, default=64, help="parallel reads of each database table")
+    parser.add_argument("--input-bytes", type=int, help="size of the largest table's columns; measured for files")
     parser.add_argument("--out", required=True, help="folder for one result folder per check")
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
     parser.add_argument("--new-fact", metavar="PATH", help="write the payment fact here, then use it")
@@ -24,9 +34,29 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     return options
 
 
+def opened(options: argparse.Namespace) -> Audit:
+    """The tables the options name, in a session sized for them."""
+    spark = session.build()
+    root = options.tables or options.csv_tables
+    if options.input_bytes:
+        session.fit(spark, options.input_bytes)
+    elif root:
+        session.fit(spark, max(session.stored_bytes(spark, f"{root.rstrip('/')}/{name}") for name in SCHEMAS))
+    if options.tables:
+        return parquet.open_audit(spark, options.tables)
+    if options.csv_tables:
+        return ptbr_csv.open_audit(spark, options.csv_tables)
+    properties = json.loads(Path(options.properties).read_text()) if options.properties else {}
+    slices = {
+        table: jdbc.find_slices(spark, table, options.jdbc, properties, options.slices)
+        for table in jdbc.SLICE_COLUMNS
+    }
+    return jdbc.open_audit(spark, options.jdbc, properties, {t: s for t, s in slices.items() if s})
+
+
 def main(argv: list[str] | None = None) -> None:
     options = arguments(argv)
-    audit = parquet.open_audit(session.build(), options.tables)
+    audit = opened(options)
     if options.new_fact:
         store.write_payment_fact(audit, options.new_fact)
     fact = options.new_fact or options.fact

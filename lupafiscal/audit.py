@@ -16,19 +16,30 @@ class Audit:
     """Where the tables come from, and optionally a payment fact already written.
 
     ``payment_fact`` is what ``plans.store.write_payment_fact`` wrote; with it
-    the payment checks scan one table instead of joining four.
+    the payment checks scan one table instead of joining four.  ``report`` is
+    the folder ``operators.exchange.write_report`` wrote, for the checks that
+    read it back.  ``as_delivered`` reads a table with the types its source has,
+    for the checks of what does not fit.
     """
 
     spark: SparkSession
     reader: TableReader
     payment_fact: DataFrame | None = None
+    report: str | None = None
+    as_delivered: TableReader | None = None
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return self.reader(name, columns)
 
+    def delivered(self, name: str, *columns: str) -> DataFrame:
+        return (self.as_delivered or self.reader)(name, columns)
+
     def with_payment_fact(self, fact: DataFrame) -> Audit:
         return replace(self, payment_fact=fact)
 
+    def with_report(self, path: str) -> Audit:
+        return replace(self, report=path)
+
     @classmethod
     def over(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> Audit:
         return cls(spark, lambda name, columns: tables[name].select(*(columns or ["*"])))

@@ -98,9 +98,8 @@ def over_contract_detail(a: Audit) -> DataFrame:
     moment = F.when(facts.before_contract(), F.lit(labels.LIST_BEFORE_TERM)).otherwise(
         F.lit(labels.LIST_DURING_TERM))
     return (
-        facts.payments(a, value=False)
+        facts.payments(a, value=False, supplier="inner")
         .filter(facts.over_contract())
-        .join(facts.suppliers(a), "id_fornecedor")
         .select("id_pagamento", F.col("nome_fornecedor").alias("fornecedor"), "id_contrato",
                 "valor_contrato", "valor_pago",
                 difference("valor_pago", "valor_contrato").alias("valor_excedente"),

@@ -9,31 +9,33 @@ from pyspark.sql import functions as F
 
 from lupafiscal.audit import Audit
 from lupafiscal.operators.registry import check
-from lupafiscal.operators.report import irregularity_report
+from lupafiscal.operators.report import REPORT, irregularity_report
 from lupafiscal.schemas import SCHEMAS
-from lupafiscal.session import new_run_folder
 from lupafiscal.sources import ptbr_csv
 
 
-def _written_report(a: Audit) -> tuple[str, DataFrame]:
-    report = irregularity_report(a)
-    path = new_run_folder(a.spark, "relatorio")
-    ptbr_csv.write(report, path)
-    return path, report
+def write_report(a: Audit, path: str) -> Audit:
+    """Writes the report to ``path`` once; the handle it returns reads it from there."""
+    ptbr_csv.write(irregularity_report(a), path)
+    return a.with_report(path)
+
+
+def _report_path(a: Audit) -> str:
+    if a.report is None:
+        raise ValueError("write the report first: write_report(audit, path)")
+    return a.report
 
 
 @check("m02_csv_sink")
 def csv_sink(a: Audit) -> DataFrame:
     """The written report as its text fields."""
-    path, report = _written_report(a)
-    return ptbr_csv.read_text(a.spark, path, report.schema)
+    return ptbr_csv.read_text(a.spark, _report_path(a), REPORT)
 
 
 @check("m03_csv_source")
 def csv_source(a: Audit) -> DataFrame:
     """The written report read back with its types."""
-    path, report = _written_report(a)
-    return ptbr_csv.read(a.spark, path, report.schema)
+    return ptbr_csv.read(a.spark, _report_path(a), REPORT)
 
 
 @check("m05_source_scan")

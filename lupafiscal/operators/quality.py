@@ -11,9 +11,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lupafiscal.audit import Audit
 from lupafiscal.functions.joins import distinct_keys, lacking
+from lupafiscal.functions.money import is_bad_money
 from lupafiscal.operators.registry import check
 from lupafiscal.schemas import (
     FOREIGN_KEYS,
@@ -26,8 +28,12 @@ from lupafiscal.schemas import (
     required_columns,
 )
 
-# Fixed value: the largest amount decimal(15,2) holds.
-LARGEST_AMOUNT = "9999999999999.99"
+
+def _too_large(rows: DataFrame, column: str):
+    """An amount, as its source delivers it, that numeric(15,2) cannot hold or that is no number."""
+    if isinstance(rows.schema[column].dataType, T.StringType):
+        return is_bad_money(column)
+    return F.col(column).isNotNull() & F.col(column).try_cast("decimal(15,2)").isNull()
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -37,9 +43,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _value_counts(a: Audit, table: str, column: str) -> DataFrame:
     return (
         a.table(table, column)
-        .groupBy(F.col(column).cast("string").alias("chave"))
+        .groupBy(F.col(column).alias("chave"))
         .agg(F.count("*").alias("ocorrencias"))
-        .select(F.lit(table).alias("tabela"), F.lit(column).alias("coluna"), "chave", "ocorrencias")
+        .select(F.lit(table).alias("tabela"), F.lit(column).alias("coluna"),
+                F.col("chave").cast("string"), "ocorrencias")
     )
 
 
@@ -133,9 +140,10 @@ def foreign_key_summary(a: Audit) -> DataFrame:
 
 @check("d05_domain_violations")
 def domain_violations(a: Audit) -> DataFrame:
-    """Texts longer than declared and amounts beyond numeric(15,2); one pass per table."""
+    """Texts longer than declared and amounts beyond numeric(15,2), as delivered; one pass per table."""
     def of(table: str) -> DataFrame:
         texts, amounts = TEXT_LENGTHS.get(table, {}), money_columns(table)
+        source = a.delivered(table, *texts, *amounts)
         measured, rows = [], []
         for column, limit in texts.items():
             size = F.length(column)
@@ -143,10 +151,9 @@ def domain_violations(a: Audit) -> DataFrame:
                          F.count_if(size > limit).alias(f"{column}_bad")]
             rows.append(f"'{column}', 'varchar({limit})', `{column}_max`, `{column}_bad`")
         for column in amounts:
-            measured.append(F.count_if(F.abs(column) > F.lit(LARGEST_AMOUNT).cast("decimal(15,2)"))
-                            .alias(f"{column}_bad"))
+            measured.append(F.count_if(_too_large(source, column)).alias(f"{column}_bad"))
             rows.append(f"'{column}', 'numeric(15,2)', cast(null as bigint), `{column}_bad`")
-        return a.table(table, *texts, *amounts).agg(*measured).selectExpr(
+        return source.agg(*measured).selectExpr(
             f"'{table}' as tabela",
             f"stack({len(rows)}, {', '.join(rows)}) as (coluna, dominio, maior_tamanho, violacoes)")
 

@@ -4,36 +4,53 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lupafiscal import labels
 from lupafiscal.audit import Audit
-from lupafiscal.functions.joins import spread_join
 from lupafiscal.functions.money import DIFFERENCE, TOTAL, total
 from lupafiscal.operators import invoices, volumes
 from lupafiscal.operators.registry import check
 from lupafiscal.plans import facts
-from lupafiscal.plans.facts import COUNT, FLAG, WITH, WITHOUT
+from lupafiscal.plans.facts import COUNT, FLAG
+from lupafiscal.schemas import MONEY
+
+
+# The report's columns, as it is written and read.
+REPORT = T.StructType([
+    T.StructField("entidade_responsavel", T.StringType()),
+    T.StructField("fornecedor", T.StringType()),
+    T.StructField("objeto_contrato", T.StringType()),
+    T.StructField("id_empenho", T.StringType()),
+    T.StructField("id_contrato", T.LongType()),
+    T.StructField("valor_teto_contrato", MONEY),
+    T.StructField("valor_total_pago", MONEY),
+    T.StructField("tipo_irregularidade", T.StringType()),
+    T.StructField("valor_prejuizo_estimado", T.DecimalType(18, 2)),
+])
+# Repetitions of one row that are listed at once.
+STEP = 1000
+
+
+def repeated(rows: DataFrame, times: Column) -> DataFrame:
+    """Each row ``times`` times, numbered from 1 in ``vez``; no row holds more than ``STEP`` numbers."""
+    last = F.floor((times - 1) / STEP).cast("long")
+    steps = rows.withColumn("_times", times.cast("long")).withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    low = F.col("_step") * STEP + 1
+    numbered = steps.withColumn("vez", F.explode(F.sequence(low, F.least("_times", low + (STEP - 1)))))
+    return numbered.drop("_times", "_step")
 
 
 def irregularities(a: Audit) -> DataFrame:
-    """Payments above their contract, once per liquidation, and payments without one.
+    """Payments above their contract, once per liquidation, and payments without one, once.
 
-    The two parts do not overlap.  The repeated part is an inner join, where a
-    commitment with very many payments or liquidations can be split on either
-    side; an outer join could not split the liquidations.
+    Liquidations are counted, never paired: no column of theirs is in the report.
     """
-    keep = ["id_empenho", "id_pagamento", "id_contrato", "id_entidade", "id_fornecedor", "objeto",
-            "valor_contrato", "valor_pago"]
-    # a plain comparison would add "is not null" to the scans of this part alone, and the
-    # shuffles of payments and contracts could not be shared with the other part
-    over = facts.payments(a, value=False, liquidation=WITH).filter(
-        F.coalesce(facts.over_contract(), F.lit(False)))
-    repeated = spread_join(over.select(*keep), a.table("liquidacao_nota_fiscal", "id_empenho"),
-                           "id_empenho")
-    return repeated.unionByName(
-        facts.payments(a, value=False, liquidation=WITHOUT).select(*keep))
+    rows = facts.payments(a, value=False, liquidation=COUNT, body="inner", supplier="inner").filter(
+        facts.over_contract() | (F.col("n_liquidacoes") == 0))
+    return repeated(rows, F.greatest(F.col("n_liquidacoes"), F.lit(1)))
 
 
 def _kind_and_loss(rows: DataFrame) -> DataFrame:
@@ -54,9 +71,7 @@ def _kind_and_loss(rows: DataFrame) -> DataFrame:
 def irregularity_report(a: Audit) -> DataFrame:
     return (
         _kind_and_loss(irregularities(a))
-        .join(facts.bodies(a), "id_entidade")
-        .join(facts.suppliers(a), "id_fornecedor")
-        .orderBy(F.desc("valor_prejuizo_estimado"), "id_pagamento")
+        .orderBy(F.desc("valor_prejuizo_estimado"), "id_pagamento", "vez")
         .select(
             F.col("nome_entidade").alias("entidade_responsavel"),
             F.col("nome_fornecedor").alias("fornecedor"),

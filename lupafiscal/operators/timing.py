@@ -29,9 +29,9 @@ def paid_before_commitment(a: Audit) -> DataFrame:
 
 @check("q15_paid_before_commitment_and_contract")
 def paid_before_commitment_and_contract(a: Audit) -> DataFrame:
-    early = facts.payments(a, value=False).filter(
+    early = facts.payments(a, value=False, supplier="inner").filter(
         facts.before_commitment() & facts.before_contract())
-    return early.join(facts.suppliers(a), "id_fornecedor").select(
+    return early.select(
         "id_empenho",
         F.col("nome_fornecedor").alias("fornecedor"),
         "data_inicio_contrato",
@@ -114,11 +114,9 @@ def full_advances(a: Audit) -> DataFrame:
 @check("g02_early_payment_timeline")
 def early_payment_timeline(a: Audit) -> DataFrame:
     return (
-        facts.payments(a, value=False)
+        facts.payments(a, value=False, body="inner", supplier="inner")
         .filter(facts.before_contract())
         .withColumn("dias_antecipacao", _days("data_inicio_contrato", "data_pagamento"))
-        .join(facts.bodies(a), "id_entidade")
-        .join(facts.suppliers(a), "id_fornecedor")
         .orderBy(F.desc("dias_antecipacao"), "id_pagamento")
         .select(
             F.col("nome_fornecedor").alias("fornecedor"),
@@ -137,10 +135,9 @@ def early_payment_timeline(a: Audit) -> DataFrame:
 def payment_before_commitment(a: Audit) -> DataFrame:
     """Also payments of commitments without contract; their supplier is null."""
     return (
-        facts.payments(a, value=False, contract="left")
+        facts.payments(a, value=False, contract="left", supplier="left")
         .filter(facts.before_commitment())
         .withColumn("dias_inconsistencia", _days("data_empenho", "data_pagamento"))
-        .join(facts.suppliers(a), "id_fornecedor", "left")
         .orderBy(F.desc("dias_inconsistencia"), "id_pagamento")
         .select("id_empenho", F.col("nome_fornecedor").alias("fornecedor"), "data_empenho",
                 "data_pagamento", "dias_inconsistencia", "valor_pago")
@@ -150,9 +147,8 @@ def payment_before_commitment(a: Audit) -> DataFrame:
 @check("g12_finished_but_early")
 def finished_but_early(a: Audit) -> DataFrame:
     return (
-        facts.payments(a, value=False, liquidation=WITH)
+        facts.payments(a, value=False, liquidation=WITH, supplier="inner")
         .filter(facts.before_contract())
-        .join(facts.suppliers(a), "id_fornecedor")
         .orderBy("data_pagamento", "id_pagamento")
         .select("id_empenho", "id_contrato", F.col("nome_fornecedor").alias("fornecedor"),
                 "data_pagamento", "data_inicio_contrato", "valor_pago",
@@ -163,16 +159,15 @@ def finished_but_early(a: Audit) -> DataFrame:
 @check("g13_irregular_advances")
 def irregular_advances(a: Audit) -> DataFrame:
     """One row per early payment and later liquidation of its commitment."""
-    early = facts.payments(a, value=False).filter(facts.before_contract()).select(
-        "id_empenho", "id_pagamento", "id_contrato", "id_fornecedor", "valor_pago",
+    early = facts.payments(a, value=False, supplier="inner").filter(facts.before_contract()).select(
+        "id_empenho", "id_pagamento", "id_contrato", "nome_fornecedor", "valor_pago",
         "data_pagamento", "data_inicio_contrato")
     delivered = facts.liquidation_rows(a).select(
         "id_empenho", "id_liq_empnf", F.col("data_emissao").alias("data_liquidacao"))
     pairs = spread_join(early, delivered, "id_empenho",
                         condition=F.col("data_pagamento") < F.col("data_liquidacao"))
     return (
-        pairs.join(facts.suppliers(a), "id_fornecedor")
-        .orderBy("data_pagamento", "id_pagamento", "id_liq_empnf")
+        pairs.orderBy("data_pagamento", "id_pagamento", "id_liq_empnf")
         .select("id_empenho", "id_contrato", F.col("nome_fornecedor").alias("fornecedor"),
                 "valor_pago", "data_pagamento", "data_inicio_contrato", "data_liquidacao",
                 F.lit(labels.FINDING_FULL_ADVANCE).alias("tipo_infracao"))

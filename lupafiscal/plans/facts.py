@@ -17,10 +17,10 @@ from lupafiscal.functions.joins import distinct_keys, having, lacking, spread_jo
 WITH, WITHOUT, FLAG, COUNT = "with", "without", "flag", "count"
 
 
-def contracts(a: Audit) -> DataFrame:
-    """One row per contract."""
+def contracts(a: Audit, body: str | None = None, supplier: str | None = None) -> DataFrame:
+    """One row per contract; ``body`` and ``supplier``: how their names are joined, or None to leave them out."""
     c = a.table("contrato", "id_contrato", "valor", "data", "objeto", "id_entidade", "id_fornecedor")
-    return c.select(
+    rows = c.select(
         "id_contrato",
         F.col("valor").alias("valor_contrato"),
         F.col("data").alias("data_inicio_contrato"),
@@ -28,6 +28,16 @@ def contracts(a: Audit) -> DataFrame:
         "id_entidade",
         "id_fornecedor",
     )
+    return with_names(a, rows, body, supplier)
+
+
+def with_names(a: Audit, rows: DataFrame, body: str | None, supplier: str | None) -> DataFrame:
+    """Adds the names asked for, in joins that Spark can split where one body or supplier has most rows."""
+    if body:
+        rows = spread_join(rows, bodies(a), "id_entidade", body)
+    if supplier:
+        rows = spread_join(rows, suppliers(a).select("id_fornecedor", "nome_fornecedor"), "id_fornecedor", supplier)
+    return rows
 
 
 def suppliers(a: Audit) -> DataFrame:
@@ -101,10 +111,13 @@ def commitments(
     contract: str | None = "inner",
     liquidation: str | None = None,
     invoiced: bool = False,
+    body: str | None = None,
+    supplier: str | None = None,
 ) -> DataFrame:
     """One row per commitment.
 
     contract: how the contract is joined, or None to leave it out.
+    body, supplier: how the names of the contract's are joined to it, or None.
     liquidation: None, or keep rows WITH or WITHOUT one, or add the column
     ``tem_liquidacao`` (FLAG) or ``n_liquidacoes`` (COUNT, 0 if none).
     invoiced: keep rows with a liquidation whose invoice exists.
@@ -128,7 +141,7 @@ def commitments(
     if invoiced:
         e = having(e, invoiced_keys(a), "id_empenho")
     if contract:
-        e = e.join(contracts(a), "id_contrato", contract)
+        e = e.join(contracts(a, body, supplier), "id_contrato", contract)
     return e
 
 
@@ -139,12 +152,18 @@ def payments(
     contract: str | None = "inner",
     liquidation: str | None = None,
     invoiced: bool = False,
+    body: str | None = None,
+    supplier: str | None = None,
 ) -> DataFrame:
-    """One row per payment with its commitment; options as in ``commitments``."""
+    """One row per payment with its commitment; options as in ``commitments``.
+
+    Names are attached to contracts, so that payments are moved once.
+    """
     if a.payment_fact is not None:
-        return _from_stored(a.payment_fact, contract, liquidation, invoiced)
+        stored = _from_stored(a.payment_fact, contract, liquidation, invoiced)
+        return with_names(a, stored, body, supplier)
     side = commitments(a, value=value, contract=contract, liquidation=liquidation,
-                       invoiced=invoiced)
+                       invoiced=invoiced, body=body, supplier=supplier)
     return spread_join(payment_rows(a), side, "id_empenho")
 
 

@@ -18,29 +18,52 @@ SETTINGS = {
 }
 
 
-def sized_for(input_bytes: int, task_bytes: int = 128 << 20) -> dict[str, str]:
-    """Shuffle settings for an input of this size.
+TASK_BYTES = 128 << 20
+MOST_PARTITIONS = 1 << 16
 
-    Shuffles start with one partition per ``task_bytes`` of input, so that a
-    task sorts in memory; adaptive execution merges those that turn out small.
+
+def sized_for(input_bytes: int, task_bytes: int = TASK_BYTES) -> dict[str, str]:
+    """Scan and shuffle settings for the bytes of the largest table's columns that are read.
+
+    Scans and shuffles start with a partition per ``task_bytes``, but never with more than
+    ``MOST_PARTITIONS``: beyond 8 TB partitions grow instead, to 1.5 GB at 100 TB, as the
+    blocks between tasks are maps times partitions.  Adaptive execution merges small ones.
     """
-    partitions = max(8, -(-input_bytes // task_bytes))
+    share = max(task_bytes, -(-input_bytes // MOST_PARTITIONS))
+    partitions = str(max(8, -(-input_bytes // share)))
     return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(task_bytes),
+        "spark.sql.shuffle.partitions": partitions,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": partitions,
+        "spark.sql.files.maxPartitionBytes": str(share),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(task_bytes),
     }
 
 
-def build(master: str | None = None, app: str = "lupafiscal", **extra: str) -> SparkSession:
+def build(master: str | None = None, app: str = "lupafiscal", input_bytes: int | None = None,
+          **extra: str) -> SparkSession:
+    """A session with ``SETTINGS``, sized for ``input_bytes`` if given; ``extra`` goes over both."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    sized = {} if input_bytes is None else sized_for(input_bytes)
+    for key, value in {**SETTINGS, **sized, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path, as its file system counts them."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def fit(spark: SparkSession, input_bytes: int) -> None:
+    """Size a running session for an input."""
+    for key, value in sized_for(input_bytes).items():
+        spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder; a local one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)

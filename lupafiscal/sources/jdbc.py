@@ -66,13 +66,25 @@ def find_slices(spark: SparkSession, table: str, url: str, properties: Mapping[s
 
 
 def open_audit(spark: SparkSession, url: str, properties: Mapping[str, str],
-               slices: Mapping[str, Slices] | None = None) -> Audit:
-    """``properties``: driver, user, password and the like, from the caller."""
-    slices = slices or {}
+               slices: Mapping[str, Slices] | None = None,
+               predicates: Mapping[str, list[str]] | None = None) -> Audit:
+    """``properties``: driver, user, password and the like, from the caller.
+
+    A table is read in ``slices`` of a range, or by ``predicates``: conditions, a task each,
+    that together cover every row exactly once, nulls included.  A table with neither is
+    read by one task.
+    """
+    slices, predicates = slices or {}, predicates or {}
+    both = sorted(set(slices) & set(predicates))
+    if both:
+        raise ValueError(f"slices and predicates for {', '.join(both)}")
 
     def read(name: str, columns: tuple[str, ...]) -> DataFrame:
-        options = read_options(name, url, slices.get(name))
-        table = spark.read.format("jdbc").options(**options, **properties).load()
+        if name in predicates:
+            table = spark.read.jdbc(url, name, predicates=predicates[name], properties=dict(properties))
+        else:
+            options = read_options(name, url, slices.get(name))
+            table = spark.read.format("jdbc").options(**options, **properties).load()
         typed = [table[f.name].cast(f.dataType).alias(f.name) for f in SCHEMAS[name]
                  if not columns or f.name in columns]
         return table.select(*typed)

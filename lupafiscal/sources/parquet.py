@@ -15,7 +15,10 @@ def open_audit(spark: SparkSession, root: str) -> Audit:
         table = spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
         return table.select(*(columns or ["*"]))
 
-    return Audit(spark, read)
+    def delivered(name: str, columns: tuple[str, ...]) -> DataFrame:
+        return spark.read.parquet(f"{root.rstrip('/')}/{name}").select(*(columns or ["*"]))
+
+    return Audit(spark, read, as_delivered=delivered)
 
 
 def write_tables(a: Audit, root: str, mode: str = "errorifexists") -> None:

@@ -10,25 +10,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lupafiscal.audit import Audit
 from lupafiscal.functions.money import from_ptbr, is_bad_money, to_ptbr
+from lupafiscal.schemas import SCHEMAS
 
 BOM = "\ufeff"
 ISO_DATE = "yyyy-MM-dd"
 LOCAL_DATE = "dd/MM/yyyy"
 
 
-def _as_text(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+# Fixed value: a text that no field holds.  Without it an empty text would be read as null.
+NO_TEXT = "\x00null\x00"
 
 
-def read_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The fields as written.  With a given schema the header line, and with it a byte
-    order mark, is skipped in every file."""
-    return spark.read.csv(path, schema=_as_text(schema), sep=";", header=True, encoding="UTF-8",
-                          quote='"', escape='"', mode="FAILFAST")
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names of the first file as written, with a byte order mark if there is one."""
+    sample = spark.read.csv(path, sep=";", header=True, encoding="UTF-8", quote='"', escape='"', inferSchema=False)
+    return sample.columns
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType, date_format: str = ISO_DATE) -> DataFrame:
+def read_text(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False) -> DataFrame:
+    """The fields as written, bound by the names in the header; blanks are kept and an empty
+    text (``""``) is not null.
+
+    Files may have the columns in any one order and a byte order mark; a file whose header
+    differs from the first one's, or that lacks a column, raises.  ``line_breaks``: fields
+    may hold some, so a file is read by one task.
+    """
+    written = _header(spark, path)
+    plain = {name.removeprefix(BOM): name for name in written}
+    missing = [f.name for f in schema if f.name not in plain]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    text = T.StructType([T.StructField(name, T.StringType()) for name in written])
+    rows = spark.read.csv(
+        path, schema=text, sep=";", header=True, encoding="UTF-8", quote='"', escape='"', mode="FAILFAST",
+        enforceSchema=False, nullValue=NO_TEXT, emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False, multiLine=line_breaks,
+    )
+    return rows.select([F.col(f"`{plain[f.name]}`").alias(f.name) for f in schema])
+
+
+def read(spark: SparkSession, path: str, schema: T.StructType, date_format: str = ISO_DATE,
+         line_breaks: bool = False) -> DataFrame:
     """Typed columns; a number or date that cannot be read raises."""
     def typed(field: T.StructField):
         text = F.col(field.name)
@@ -38,7 +62,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType, date_format: str
             return F.to_date(text, date_format).alias(field.name)
         return text.cast(field.dataType).alias(field.name)
 
-    return read_text(spark, path, schema).select([typed(f) for f in schema])
+    return read_text(spark, path, schema, line_breaks).select([typed(f) for f in schema])
 
 
 def bad_amounts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -50,15 +74,39 @@ def bad_amounts(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     return read_text(spark, path, schema).filter(bad)
 
 
-def write(df: DataFrame, path: str, bom: bool = True, mode: str = "errorifexists") -> None:
-    """Amounts with decimal comma.  ``bom`` puts a byte order mark before each header, so
-    that spreadsheet programs take every part file as UTF-8."""
-    text = df.select([
-        to_ptbr(f.name).alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-        for f in df.schema
-    ])
+def write(df: DataFrame, path: str, bom: bool = True, mode: str = "errorifexists",
+          line_breaks: bool = False) -> None:
+    """Amounts with decimal comma; texts exactly as they are, an empty one as ``""``, null as nothing.
+
+    ``bom`` puts a byte order mark before each header, so that spreadsheet programs take
+    every part file as UTF-8.  A text with a line break raises unless ``line_breaks`` says
+    that readers expect some.
+    """
+    def field(f: T.StructField):
+        if isinstance(f.dataType, T.DecimalType):
+            return to_ptbr(f.name).alias(f.name)
+        if isinstance(f.dataType, T.StringType) and not line_breaks:
+            broken = F.col(f.name).rlike("[\\r\\n]")
+            return F.when(broken, F.raise_error(F.lit(f"line break in {f.name}"))).otherwise(F.col(f.name)).alias(f.name)
+        return F.col(f.name)
+
+    text = df.select([field(f) for f in df.schema])
     if bom:
         first = text.columns[0]
         text = text.withColumnRenamed(first, BOM + first)
-    text.write.csv(path, sep=";", header=True, encoding="UTF-8", quote='"', escape='"',
-                   dateFormat=ISO_DATE, emptyValue="", mode=mode)
+    text.write.csv(path, sep=";", header=True, encoding="UTF-8", quote='"', escape='"', dateFormat=ISO_DATE,
+                   emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode=mode)
+
+
+def open_audit(spark: SparkSession, root: str, date_format: str = ISO_DATE, line_breaks: bool = False) -> Audit:
+    """The eight tables as CSV folders (or files) below one root."""
+    def path(name: str) -> str:
+        return f"{root.rstrip('/')}/{name}"
+
+    def read_table(name: str, columns: tuple[str, ...]) -> DataFrame:
+        return read(spark, path(name), SCHEMAS[name], date_format, line_breaks).select(*(columns or ["*"]))
+
+    def delivered(name: str, columns: tuple[str, ...]) -> DataFrame:
+        return read_text(spark, path(name), SCHEMAS[name], line_breaks).select(*(columns or ["*"]))
+
+    return Audit(spark, read_table, as_delivered=delivered)
