@@ -24,8 +24,8 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--input-bytes", type=int, help="size of the largest table's columns; measured for files")
     parser.add_argument("--out", required=True, help="folder for one result folder per check")
     parser.add_argument("--format", choices=["csv", "parquet"], default="csv")
-    parser.add_argument("--new-fact", metavar="PATH", help="write the payment fact here, then use it")
-    parser.add_argument("--fact", metavar="PATH", help="use the payment fact written here before")
+    parser.add_argument("--new-fact", metavar="PATH", help="write the payment and commitment facts here, then use them")
+    parser.add_argument("--fact", metavar="PATH", help="use the facts written here before")
     parser.add_argument("checks", nargs="*", metavar="check", help="names; all reports if none is given")
     options = parser.parse_args(argv)
     unknown = sorted(set(options.checks) - set(CHECKS))
@@ -58,10 +58,10 @@ def main(argv: list[str] | None = None) -> None:
     options = arguments(argv)
     audit = opened(options)
     if options.new_fact:
-        store.write_payment_fact(audit, options.new_fact)
+        store.write_facts(audit, options.new_fact)
     fact = options.new_fact or options.fact
     if fact:
-        audit = store.with_stored_fact(audit, fact)
+        audit = store.with_stored_facts(audit, fact)
     # the two exchange checks only write the report once more
     names = options.checks or [n for n in sorted(CHECKS) if n not in ("m02_csv_sink", "m03_csv_source")]
     for name in names:

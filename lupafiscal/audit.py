@@ -16,7 +16,9 @@ class Audit:
     """Where the tables come from, and optionally a payment fact already written.
 
     ``payment_fact`` is what ``plans.store.write_payment_fact`` wrote; with it
-    the payment checks scan one table instead of joining four.  ``report`` is
+    the payment checks scan one table instead of joining four.  ``commitment_fact``
+    is likewise what ``write_commitment_fact`` wrote: payments and liquidations
+    summed per commitment.  ``report`` is
     the folder ``operators.exchange.write_report`` wrote, for the checks that
     read it back.  ``as_delivered`` reads a table with the types its source has,
     for the checks of what does not fit.
@@ -25,6 +27,7 @@ class Audit:
     spark: SparkSession
     reader: TableReader
     payment_fact: DataFrame | None = None
+    commitment_fact: DataFrame | None = None
     report: str | None = None
     as_delivered: TableReader | None = None
 
@@ -37,6 +40,9 @@ class Audit:
     def with_payment_fact(self, fact: DataFrame) -> Audit:
         return replace(self, payment_fact=fact)
 
+    def with_commitment_fact(self, fact: DataFrame) -> Audit:
+        return replace(self, commitment_fact=fact)
+
     def with_report(self, path: str) -> Audit:
         return replace(self, report=path)
 

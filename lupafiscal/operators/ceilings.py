@@ -15,7 +15,7 @@ from lupafiscal.plans.facts import FLAG, WITHOUT
 
 def _paid_per_commitment(a: Audit, how: str) -> DataFrame:
     e = a.table("empenho", "id_empenho", "valor").withColumnRenamed("valor", "valor_empenhado")
-    return e.join(facts.payment_totals(facts.payment_rows(a)), "id_empenho", how)
+    return e.join(facts.paid_totals(a), "id_empenho", how)
 
 
 def _overpaid(a: Audit, excess_name: str) -> DataFrame:

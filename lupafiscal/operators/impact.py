@@ -15,7 +15,7 @@ from lupafiscal.plans.facts import COUNT, FLAG
 
 def _consolidated(a: Audit, once: bool) -> DataFrame:
     """A commitment's payments count once per liquidation, or ``once`` at all."""
-    sums = facts.payment_totals(facts.payment_rows(a))
+    sums = facts.paid_totals(a)
     times = F.lit(1) if once else F.greatest(F.col("n_liquidacoes"), F.lit(1))
     over = F.col("pago") > F.col("valor_contrato")
     none = F.col("n_liquidacoes") == 0

@@ -15,7 +15,7 @@ from lupafiscal.plans import facts
 
 def _both_sides(a: Audit) -> DataFrame:
     """One row per commitment that is both paid and liquidated."""
-    paid = facts.payment_totals(facts.payment_rows(a))
+    paid = facts.paid_totals(a)
     return paid.join(facts.liquidation_totals(a), "id_empenho")
 
 

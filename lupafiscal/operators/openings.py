@@ -126,7 +126,7 @@ def open_payment_dates(a: Audit) -> DataFrame:
 @check("g08_open_overvalued_contracts")
 def open_overvalued_contracts(a: Audit) -> DataFrame:
     """Invoice payments play no part here, unlike in the excess list above."""
-    sums = facts.payment_totals(facts.payment_rows(a))
+    sums = facts.paid_totals(a)
     return (
         facts.commitments(a, liquidation=WITHOUT)
         .filter("valor_empenhado > valor_contrato")

@@ -124,7 +124,7 @@ def _metrics(one_row: DataFrame, **column_of: str) -> DataFrame:
 
 
 def _commitment_figures(a: Audit) -> DataFrame:
-    sums = facts.payment_totals(facts.payment_rows(a))
+    sums = facts.paid_totals(a)
     rows = facts.commitments(a, contract=None, liquidation=FLAG).join(sums, "id_empenho", "left")
     paid = F.coalesce("total_pago", F.lit(0))
     is_paid, held = F.col("n_pagamentos").isNotNull(), F.col("valor_empenhado")

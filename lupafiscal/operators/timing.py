@@ -67,7 +67,7 @@ def liquidation_to_payment_days(a: Audit) -> DataFrame:
     """First liquidation and last payment do not depend on how the two are paired."""
     first = facts.liquidation_totals(a).select(
         "id_empenho", F.col("primeira_liquidacao").alias("data_liquidacao"))
-    last = facts.payment_totals(facts.payment_rows(a)).select(
+    last = facts.paid_totals(a).select(
         "id_empenho", F.col("ultimo_pagamento").alias("data_pagamento"))
     return (
         a.table("empenho", "id_empenho")

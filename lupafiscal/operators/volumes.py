@@ -23,8 +23,8 @@ def total_commitments(a: Audit) -> DataFrame:
 
 @check("q02_commitments_with_payment")
 def commitments_with_payment(a: Audit) -> DataFrame:
-    paid = a.table("pagamento", "id_empenho")
-    return paid.agg(F.count_distinct("id_empenho").alias("total_empenhos_com_pagamento"))
+    """Also commitments that the registry does not have."""
+    return _count(facts.paid_keys(a), "total_empenhos_com_pagamento")
 
 
 @check("q03_full_cycle_commitments")

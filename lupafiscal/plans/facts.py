@@ -70,15 +70,21 @@ def liquidation_rows(a: Audit) -> DataFrame:
 
 
 def liquidated_keys(a: Audit) -> DataFrame:
+    if a.commitment_fact is not None:
+        return a.commitment_fact.filter("n_liquidacoes > 0").select("id_empenho")
     return distinct_keys(a.table("liquidacao_nota_fiscal", "id_empenho"), "id_empenho")
 
 
 def paid_keys(a: Audit) -> DataFrame:
+    if a.commitment_fact is not None:
+        return a.commitment_fact.filter("n_pagamentos > 0").select("id_empenho")
     return distinct_keys(a.table("pagamento", "id_empenho"), "id_empenho")
 
 
 def invoiced_keys(a: Audit) -> DataFrame:
     """Commitments with a liquidation whose invoice exists."""
+    if a.commitment_fact is not None:
+        return a.commitment_fact.filter("tem_nfe").select("id_empenho")
     liq = a.table("liquidacao_nota_fiscal", "chave_danfe", "id_empenho")
     # invoice keys are unique and stay as they are; liquidations may share one, and both
     # sides straight from a shuffle let such a key be split
@@ -88,6 +94,9 @@ def invoiced_keys(a: Audit) -> DataFrame:
 
 def liquidation_totals(a: Audit) -> DataFrame:
     """One row per liquidated commitment; combined before the shuffle."""
+    if a.commitment_fact is not None:
+        return a.commitment_fact.filter("n_liquidacoes > 0").select(
+            "id_empenho", "n_liquidacoes", "total_liquidado", "primeira_liquidacao")
     return liquidation_rows(a).groupBy("id_empenho").agg(
         F.count("*").alias("n_liquidacoes"),
         F.sum("valor_liquidado").alias("total_liquidado"),
@@ -104,6 +113,27 @@ def payment_totals(payments: DataFrame) -> DataFrame:
     )
 
 
+def paid_totals(a: Audit) -> DataFrame:
+    """``payment_totals`` of all payments, also those of unknown commitments."""
+    if a.commitment_fact is not None:
+        return a.commitment_fact.filter("n_pagamentos > 0").select(
+            "id_empenho", "n_pagamentos", "total_pago", "ultimo_pagamento")
+    return payment_totals(payment_rows(a))
+
+
+def _stored_commitments(fact: DataFrame, value: bool, liquidation: str | None, invoiced: bool) -> DataFrame:
+    rows = fact.filter("conhecido")
+    if liquidation == WITH:
+        rows = rows.filter("n_liquidacoes > 0")
+    elif liquidation == WITHOUT:
+        rows = rows.filter("n_liquidacoes = 0")
+    if invoiced:
+        rows = rows.filter("tem_nfe")
+    wanted = ["id_empenho", "data_empenho", "id_contrato"] + (["valor_empenhado"] if value else [])
+    added = {FLAG: [(F.col("n_liquidacoes") > 0).alias("tem_liquidacao")], COUNT: ["n_liquidacoes"]}
+    return rows.select(*wanted, *added.get(liquidation, []))
+
+
 def commitments(
     a: Audit,
     *,
@@ -122,6 +152,9 @@ def commitments(
     ``tem_liquidacao`` (FLAG) or ``n_liquidacoes`` (COUNT, 0 if none).
     invoiced: keep rows with a liquidation whose invoice exists.
     """
+    if a.commitment_fact is not None:
+        e = _stored_commitments(a.commitment_fact, value, liquidation, invoiced)
+        return e.join(contracts(a, body, supplier), "id_contrato", contract) if contract else e
     wanted = ["id_empenho", "data_empenho", "id_contrato"] + (["valor"] if value else [])
     e = a.table("empenho", *wanted)
     if value:

@@ -1,8 +1,9 @@
-"""Write the payment fact once, for an audit that runs many checks.
+"""Write the payment and commitment facts once, for an audit that runs many checks.
 
 The fact joins payments, commitments, contracts and the existence flags.  Once
 written as Parquet, the payment checks read their columns from it and need no
-join but the one for names.
+join but the one for names.  The commitment fact has the sums of payments and
+liquidations per commitment, so that checks at that grain scan neither.
 """
 
 from __future__ import annotations
@@ -37,3 +38,37 @@ def write_payment_fact(a: Audit, path: str) -> None:
 
 def with_stored_fact(a: Audit, path: str) -> Audit:
     return a.with_payment_fact(a.spark.read.parquet(path))
+
+
+def commitment_fact(a: Audit) -> DataFrame:
+    """One row per commitment that is known, paid or liquidated."""
+    known = facts.commitments(a, contract=None).withColumn("conhecido", F.lit(True))
+    paid, delivered = facts.paid_totals(a), facts.liquidation_totals(a)
+    invoiced = facts.invoiced_keys(a).withColumn("tem_nfe", F.lit(True))
+    rows = known.join(paid, "id_empenho", "full").join(delivered, "id_empenho", "full").join(invoiced, "id_empenho", "full")
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    return rows.filter(F.col("id_empenho").isNotNull()).select(
+        "id_empenho", F.coalesce("conhecido", no).alias("conhecido"), "data_empenho", "id_contrato", "valor_empenhado",
+        F.coalesce("n_pagamentos", zero).alias("n_pagamentos"), "total_pago", "ultimo_pagamento",
+        F.coalesce("n_liquidacoes", zero).alias("n_liquidacoes"), "total_liquidado", "primeira_liquidacao",
+        F.coalesce("tem_nfe", no).alias("tem_nfe"),
+    )
+
+
+def write_commitment_fact(a: Audit, path: str) -> None:
+    commitment_fact(a).write.mode("errorifexists").parquet(path)
+
+
+def with_stored_commitments(a: Audit, path: str) -> Audit:
+    return a.with_commitment_fact(a.spark.read.parquet(path))
+
+
+def write_facts(a: Audit, root: str) -> None:
+    """Both facts, below one root."""
+    write_payment_fact(a, f"{root.rstrip('/')}/payments")
+    write_commitment_fact(a, f"{root.rstrip('/')}/commitments")
+
+
+def with_stored_facts(a: Audit, root: str) -> Audit:
+    paid = with_stored_fact(a, f"{root.rstrip('/')}/payments")
+    return with_stored_commitments(paid, f"{root.rstrip('/')}/commitments")

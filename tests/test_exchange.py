@@ -232,6 +232,28 @@ def test_stored_fact_gives_the_same_rows(stored, key):
     assert tables.rows_of(df) == tables.rows_of(run(name, plain))
 
 
+# Checks that must take sums per commitment from the stored fact.
+ON_THE_COMMITMENT_FACT = "g03 g03b g08 g11 q02 q03 q17 q18 q19 q21 q22 q30 q30b s01".split()
+
+
+@pytest.fixture(scope="module")
+def stored_sums(spark, tmp_path_factory):
+    plain = tables.audit(spark, tables.random_tables(12, 50))
+    root = str(tmp_path_factory.mktemp("facts") / "facts")
+    store.write_facts(plain, root)
+    return plain, root
+
+
+@pytest.mark.parametrize("key", ON_THE_COMMITMENT_FACT)
+def test_commitment_fact_gives_the_same_rows(stored_sums, key):
+    plain, root = stored_sums
+    (name,) = [n for n in CHECKS if n.split("_")[0] == key]
+    for fast in (store.with_stored_commitments(plain, f"{root}/commitments"), store.with_stored_facts(plain, root)):
+        df = run(name, fast)
+        assert any(f"{root}/commitments" in file for file in df.inputFiles())
+        assert tables.rows_of(df) == tables.rows_of(run(name, plain))
+
+
 def test_stored_fact_needs_no_join(stored, settings):
     settings({"spark.sql.autoBroadcastJoinThreshold": "-1"})
     _, fast, _ = stored
