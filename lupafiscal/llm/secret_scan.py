@@ -2,13 +2,13 @@
 
 Patterns find assigned values, access keys and hexadecimal strings, with their
 places.  Two first-order character models are trained: one of random strings, on
-the values the patterns label in all documents, and one of ordinary words and
-identifiers, on the words of a bounded sample of documents
-(``ORDINARY_DOCUMENTS``).  Other long strings are held against both: a string
+the values the patterns label, and one of ordinary words and identifiers, on the
+words between them, both in all documents.  Other long strings are held against both: a string
 whose mean log-likelihood ratio a character step is above ``THRESHOLD`` is a
 secret too.
 
-A text is searched once; what is kept of it is its matches and long strings.
+A text is searched for spans once, and once more for its words; what is kept of it
+is its matches and long strings, and counts of character steps.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ SMOOTHING = 20.0
 UNIFORM = 0.2  # share of a uniform model in each, so that steps neither has seen weigh little
 # Held-out ordinary strings score about -1.9, random ones 0 (letters of all kinds) to 1.3 (hexadecimal).
 THRESHOLD = -0.3
-ORDINARY_DOCUMENTS = 2000
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:string>>"
 
@@ -95,18 +94,15 @@ def ratios(random: DataFrame, ordinary: DataFrame) -> list[float]:
     return [r - o for left, right in zip(*tables, strict=True) for r, o in zip(left, right, strict=True)]
 
 
-def trained(found: DataFrame, documents: DataFrame, doc_id: str, text: str) -> list[float]:
-    """The models' ratios: random strings from all of ``found``, ordinary ones from the sampled documents.
+def trained(found: DataFrame, documents: DataFrame, text: str) -> list[float]:
+    """The models' ratios: random strings from all of ``found``, ordinary ones from all texts of ``documents``.
 
-    Sampled are the ``ORDINARY_DOCUMENTS`` ids with the lowest hashes.  Without
-    any strings all ratios are 0.
+    Without any strings all ratios are 0.
     """
     random = found.select(F.explode("base.value").alias("s"))
-    ids = documents.select(F.col(doc_id).alias("d")).filter("d is not null").orderBy(F.xxhash64("d"), "d").limit(ORDINARY_DOCUMENTS)
-    sample = F.broadcast(written(ids.distinct(), "sample"))  # ORDINARY_DOCUMENTS ids at most
-    texts = documents.select(F.col(doc_id).alias("d"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    texts = documents.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     # What the patterns have found is not ordinary.
-    plain = texts.join(sample, "d", "left_semi").select(F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("t"))
+    plain = texts.select(F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("t"))
     ordinary = plain.select(F.explode(F.regexp_extract_all("t", F.lit(WORD), F.lit(0))).alias("s"))
     return ratios(steps(random), steps(ordinary))
 
@@ -133,7 +129,7 @@ def written_spans(spans: Column) -> Column:
 RESULTS = f"base {SPAN}, added {SPAN}"
 
 
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row's ``keep`` columns, ``base`` (spans by pattern) and ``added`` (spans by the models).
 
     A span has start, kind (a number in ``KINDS``), end and value, in characters.
@@ -143,7 +139,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[
     """
     names, columns, _ = keeping(df, keep, RESULTS)
     found = written(searched(df, text, columns), "secrets")
-    model = trained(found, df, doc_id, text)
+    model = trained(found, df, text)
 
     def is_secret(s: Column) -> Column:
         touches = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,22 @@ def test_digits_alone_and_base_spans_are_not_added(spark):
 
 def test_empty_table(spark):
     assert secret_scan.scan(cases.documents(spark, [])).count() == 0
+
+
+def test_ordinary_words_of_all_documents_are_counted(spark, monkeypatch):
+    rows = [(i, f"{cases.prose(i, 5)} Name{i}") for i in range(2100)]
+    rows += [(7, f"often repeated words{i % 10}") for i in range(1000)] + [(None, "without number"), (9, "token=Zx81Kq0PzLm37Tg then"), (None, None)]
+    seen = []
+
+    def ratios(random, ordinary):
+        seen.append({(r.a, r.b): r.n for r in ordinary.collect()})
+        return [0.0] * secret_scan.SYMBOLS**2
+
+    monkeypatch.setattr(secret_scan, "ratios", ratios)
+    secret_scan.scan(cases.documents(spark, rows))
+    want = Counter()
+    for _, text in rows:
+        for word in re.findall(secret_scan.WORD, ASSIGN.sub(" ", text or "")):
+            codes = [secret_scan.ALPHABET.find(c) + 1 for c in word]
+            want.update(zip(codes, codes[1:]))
+    assert seen == [dict(want)]
