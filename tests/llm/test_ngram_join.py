@@ -68,6 +68,13 @@ def test_same_as_comparing_all(spark, monkeypatch, block):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == brute_force(rows())
 
 
+@pytest.mark.parametrize("shingles", [100, 400])
+def test_blocks_of_few_shingles_may_be_empty(spark, monkeypatch, shingles):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    found = ngram_join.near_duplicates(cases.documents(spark, rows())).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in found) == brute_force(rows())
+
+
 def test_one_of_each(spark):
     df = cases.documents(spark, rows())
     kept = ngram_join.one_of_each(df)
