@@ -34,8 +34,10 @@ NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
-# Characters split here; texts with any other go to the tokenizers library.
+# Characters split here; texts with any other are split by the tokenizers library.
 PLAIN = 0x180
+# Keeps the keys of words split by the library apart from those of words split here.
+ODD = 0x0DD5EED
 BLANK, LETTER, NUMBER, OTHER = range(4)
 WORD_MEMORY = 1_500_000
 PAIR_MEMORY = 2_000_000
@@ -183,11 +185,14 @@ def _byte_characters() -> list[str]:
 class Encoder:
     """Ids of whole texts: a distinct word is encoded once in a worker and remembered, within a bound.
 
-    Words are told apart by 64-bit hashes.
+    Words are told apart by 64-bit hashes.  Only texts that hold special tokens are
+    encoded by the library as a whole.
     """
 
     def __init__(self, path: str, encode_words: Callable[[list[str]], list[list[int]]]):
         self.whole_texts = library(path)
+        self.special = [x.content for x in self.whole_texts.get_added_tokens_decoder().values()]
+        self.byte_of = {ord(c): b for b, c in enumerate(_byte_characters())}
         self.encode_words = encode_words
         self._forget()
 
@@ -215,6 +220,20 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.keys[at] == keys
 
+    def _encoded(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and where each word's begin (one more than words)."""
+        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~self._known(keys)
+        if new.any():
+            if len(self.keys) + int(new.sum()) > WORD_MEMORY:
+                new[:] = True  # the memory starts anew
+            self._learn(keys[new], [word(i) for i in first[new]])
+        at = np.searchsorted(self.keys, keys)[inverse]
+        sizes, begins = self.sizes[at], self.begins[at]
+        total = np.cumsum(sizes)
+        place = np.arange(total[-1]) + np.repeat(begins - (total - sizes), sizes)
+        return self.flat[place], np.concatenate([[0], total])
+
     def _plain(self, texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end and tokens per row, for texts of plain characters only."""
         points = np.frombuffer(texts.data.tobytes().decode().encode("utf-32-le"), np.uint32)
@@ -223,22 +242,26 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(texts.rows, np.int64)
         symbols = LOWER[points]
-        keys, first, inverse = np.unique(
-            words.hashes(symbols, starts, ends, PLAIN), return_index=True, return_inverse=True
+        flat, total = self._encoded(
+            words.hashes(symbols, starts, ends, PLAIN),
+            lambda i: symbols[starts[i] : ends[i]].astype("<u4").tobytes().decode("utf-32-le"),
         )
-        new = ~self._known(keys)
-        if new.any():
-            if len(self.keys) + int(new.sum()) > WORD_MEMORY:
-                new[:] = True  # the memory starts anew
-            self._learn(keys[new], [
-                symbols[starts[i] : ends[i]].astype("<u4").tobytes().decode("utf-32-le") for i in first[new]
-            ])
-        at = np.searchsorted(self.keys, keys)[inverse]
-        sizes, begins = self.sizes[at], self.begins[at]
-        total = np.cumsum(sizes)
-        place = np.arange(total[-1]) + np.repeat(begins - (total - sizes), sizes)
-        total = np.concatenate([[0], total])
-        return self.flat[place], np.diff(total[np.searchsorted(starts, offsets)])
+        return flat, np.diff(total[np.searchsorted(starts, offsets)])
+
+    def _odd(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, for texts of any characters without special tokens: the library splits them."""
+        normalizer, pre_tokenizer = self.whole_texts.normalizer, self.whole_texts.pre_tokenizer
+        rows = [[x for x, _ in pre_tokenizer.pre_tokenize_str(normalizer.normalize_str(t))] for t in texts]
+        # Words come spelled in the byte-level alphabet, one character a byte.
+        spelled = [x for row in rows for x in row]
+        if not spelled:
+            return [np.zeros(0, np.uint32) for _ in rows]
+        data = np.frombuffer("".join(spelled).translate(self.byte_of).encode("latin-1"), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+        starts = np.concatenate([[0], ends[:-1]])
+        keys = words.mix(words.hashes(data, starts, ends) ^ np.uint64(ODD))
+        flat, total = self._encoded(keys, lambda i: data[starts[i] : ends[i]].tobytes().decode())
+        return np.split(flat, total[np.cumsum([len(row) for row in rows])[:-1]])
 
     def ids(self, texts: words.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and where each row's begin (one more than rows)."""
@@ -255,9 +278,14 @@ class Encoder:
             texts.data[texts.offsets[r] : texts.offsets[r + 1]].tobytes().decode(errors="replace")
             for r in np.flatnonzero(~plain)
         ]
-        own = [np.array(x.ids, np.uint32) for x in self.whole_texts.encode_batch_fast(rest, add_special_tokens=False)]
+        special = [any(x in t for x in self.special) for t in rest]
+        whole = self.whole_texts.encode_batch_fast(
+            [t for t, x in zip(rest, special, strict=True) if x], add_special_tokens=False
+        )
+        whole_parts = iter([np.array(x.ids, np.uint32) for x in whole])
+        odd_parts = iter(self._odd([t for t, x in zip(rest, special, strict=True) if not x]))
         parts = iter(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [])
-        own_parts = iter(own)
+        own_parts = iter([next(whole_parts if x else odd_parts) for x in special])
         rows = [next(parts) if p else next(own_parts) for p in plain]
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
 

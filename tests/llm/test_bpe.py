@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lupafiscal.llm import bpe
+from lupafiscal.llm import bpe, words
 from lupafiscal.llm.queries import op9_bpe, tokenizer_path
 from tests.llm import cases
 
@@ -43,6 +44,21 @@ def test_every_word_of_the_documents(spark, library):
         assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_words_of_all_texts_but_special_ones_go_through_the_trie(library):
+    rng = random.Random(10)
+    letters = "aB'“”’—–… \u00a0\u0085\u3000ΑάΣςпривЙ中文字كش😀👩\u200d1²½٣İıſẞe\u0301\u212b<|>sS"
+    rows = ["“Quoted” — it’s Ελληνικά, Привет 中文 naïve\u00a0cafe\u0301 😀 <| walk", "", "plain walk", "\u3000", "<|", "İ"]
+    rows += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(500)]
+    rows += ["“a”<|endoftext|>ß Привет", "x <|startoftext|>"]
+    seen, trie = [], bpe.trie_encoder(cases.PATH).encode_words
+    encoder = bpe.Encoder(cases.PATH, lambda own: seen.extend(own) or trie(own))
+    for some in (rows, rows[:6], rows[3:4], rows[-2:], ["a", "×!", "\u05e1"]):
+        texts = next(iter(words.slices(pa.array(some, pa.string()))))
+        flat, at = encoder.ids(texts)
+        assert [x.tolist() for x in np.split(flat, at[1:-1])] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert {"“", "”", "—", "ελληνικά", "привет", "中文", "café", "😀", "<|", "walk"} <= set(seen)
+
+
 def test_trie_shares_prefixes_and_keeps_order(library):
     trie = bpe.Trie(cases.PATH)
     words = ["walking", "walk", "walked", "zebra", "walk", "wal", "é"]
