@@ -28,9 +28,10 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LENGTH = 6
 KINDS = ["assign", "access", "hex", "model"]
 
-LONG = r"[A-Za-z0-9+/_-]{20,}"
+LONG_LENGTH = 16
+LONG = rf"[A-Za-z0-9+/_-]{{{LONG_LENGTH},}}"
 # Ordinary words are shorter than the strings to be judged, so that those never train.
-WORD = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{3,18}(?![A-Za-z0-9_])"
+WORD = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{3,14}(?![A-Za-z0-9_])"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 SYMBOLS = len(ALPHABET) + 1  # 0: any other character
 SMOOTHING = 20.0
@@ -133,7 +134,8 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataF
     """Each row's ``keep`` columns, ``base`` (spans by pattern) and ``added`` (spans by the models).
 
     A span has start, kind (a number in ``KINDS``), end and value, in characters.
-    Added ones touch no base one and have digits and letters.  A null or
+    Added ones touch no base one and have letters, ``LONG_LENGTH`` of them if they
+    have no digits: numbers score as random, and ruled lines as nothing.  A null or
     empty text has no spans; repeated rows come out repeatedly; other columns are
     left out and may have any name; a kept one named as a result gives way.
     """
@@ -143,8 +145,9 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataF
 
     def is_secret(s: Column) -> Column:
         touches = F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        mixed = s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")
-        return ~touches & mixed & (mean_ratio(s["value"], model) > THRESHOLD)
+        letters = F.length(F.regexp_replace(s["value"], "[^A-Za-z]", ""))
+        judged = (letters >= LONG_LENGTH) | s["value"].rlike("[0-9]") & (letters > 0)
+        return ~touches & judged & (mean_ratio(s["value"], model) > THRESHOLD)
 
     added = F.when(F.size("long") > 0, F.filter("long", is_secret)).otherwise(F.col("long"))
     return found.withColumn("added", added).drop("long").toDF(*names, "base", "added")

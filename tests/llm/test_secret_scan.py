@@ -67,6 +67,21 @@ def test_held_out_accuracy_and_spans(spark):
             assert r.text[s.start : s.end] == s.value
 
 
+def test_letters_alone_and_shorter_strings_are_judged(spark):
+    rng = random.Random(12)
+    draw = lambda letters, low, high: "".join(rng.choice(letters) for _ in range(rng.randrange(low, high)))
+    train = [(i, f"token={r} {' '.join(ordinary_strings(i, 8)).replace('_', ' ')}") for i, r in enumerate(random_strings(1, 400))]
+    letters = [(1000 + i, f"see {draw(string.ascii_letters, 20, 44)} here") for i in range(100)]
+    short = [(2000 + i, f"see {draw(string.ascii_letters + string.digits, 16, 20)} here") for i in range(100)]
+    plain = [(3000 + i, f"see {s.replace('_', '')} here") for i, s in enumerate(ordinary_strings(90_001, 200))]
+    plain += [(4000, "-" * 30 + "ab" + "-" * 30), (4001, "_" * 40), (4002, "4871316720949013")]
+    found = {r.doc_id: r.added for r in secret_scan.scan(cases.documents(spark, train + letters + short + plain), keep=("doc_id",)).collect()}
+    for own in (letters, short):
+        assert sum(bool(found[d]) for d, _ in own) >= 90
+    assert sum(bool(found[d]) for d, _ in plain) <= 2
+    assert not found[4000] and not found[4001] and not found[4002]
+
+
 def test_digits_alone_and_base_spans_are_not_added(spark):
     rows = [(1, "1234567890123456789012345"), (2, "token=Zx81Kq0PzLm37TgYw2Rb")]
     assert all(not r.added for r in secret_scan.scan(cases.documents(spark, rows)).collect())
