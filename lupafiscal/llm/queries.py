@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lupafiscal.llm import bpe, chat, decontamination, line_dedup, ngram_join, quality, secret_scan, suffix_dedup, token_files, warc
+from lupafiscal.llm import (
+    bpe, chat, decontamination, line_dedup, ngram_join, periodic_runs, quality, secret_scan, suffix_dedup, token_files, warc,
+)
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
 
@@ -110,6 +112,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(read)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of each document, some made periodic, and digests of them and of the text without repeats."""
+    documents = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))
+    found = periodic_runs.collapse(documents, keep=("doc_id",)).withColumn("best", periodic_runs.longest())
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -121,4 +136,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
 }
