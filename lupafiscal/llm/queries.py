@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lupafiscal.llm import (
-    bpe, chat, decontamination, line_dedup, ngram_join, periodic_runs, quality, secret_scan, suffix_dedup, token_files, warc,
+    bpe, chat, decontamination, line_dedup, ngram_join, periodic_runs, quality, resampling, secret_scan, suffix_dedup,
+    token_files, warc,
 )
 from lupafiscal.llm.tables import table, written
 from lupafiscal.session import new_run_folder
@@ -125,6 +126,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's weight towards the benchmark, its score, and its rank if it is drawn."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -137,4 +144,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_resampling": op12_resampling,
 }
