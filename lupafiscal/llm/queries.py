@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lupafiscal.llm import (
-    bpe, chat, decontamination, line_dedup, ngram_join, periodic_runs, quality, resampling, secret_scan, suffix_dedup,
+    bpe, chat, class_model, decontamination, line_dedup, ngram_join, periodic_runs, quality, resampling, secret_scan, suffix_dedup,
     token_files, warc,
 )
 from lupafiscal.llm.tables import table, written
@@ -132,6 +132,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability by unigrams and by the class model, a seventh of them held out."""
+    return class_model.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_decontamination": op2_decontamination,
@@ -145,4 +150,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_resampling": op12_resampling,
+    "op13_class_model": op13_class_model,
 }
