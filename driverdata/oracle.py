@@ -634,6 +634,33 @@ def _summary() -> str:
     return " UNION ALL ".join(row(m, t) for m, t in figures.items())
 
 
+def _key_slices(count: int = 16, sample: int = 16384) -> str:
+    """A sample of keys by their md5, keys at its regular places, and the rows between these."""
+    def of(table: str, key: str) -> str:
+        return f"""
+        SELECT '{table}' AS tabela, CAST(row_number() OVER (ORDER BY de NULLS FIRST) - 1 AS INT) AS fatia,
+               CAST(de AS VARCHAR) AS de, CAST(ate AS VARCHAR) AS ate, linhas
+        FROM (
+          SELECT de, ate, COUNT(*) FILTER (WHERE k.linha IS NOT NULL) AS linhas
+          FROM (
+            SELECT de, lead(de) OVER (ORDER BY de NULLS FIRST) AS ate
+            FROM (
+              SELECT DISTINCT chave AS de
+              FROM (
+                SELECT {key} AS chave, row_number() OVER (ORDER BY {key}) - 1 AS lugar, COUNT(*) OVER () AS m
+                FROM {table}, (SELECT COUNT(*) AS n FROM {table})
+                WHERE {key} IS NOT NULL AND (n <= {sample}
+                  OR CAST('0x' || md5(CAST({key} AS VARCHAR))[1:8] AS BIGINT) < {sample} * 4294967296 // n)),
+                range(1, {count}) AS u(i)
+              WHERE lugar = i * m // {count}
+              UNION ALL SELECT NULL)) b
+          LEFT JOIN (SELECT {key} AS chave, 1 AS linha FROM {table}) k
+            ON ((de IS NULL OR chave >= de) AND (ate IS NULL OR chave < ate)) OR (chave IS NULL AND de IS NULL)
+          GROUP BY de, ate)"""
+
+    return " UNION ALL ".join(of(t, c) for t, c in PRIMARY_KEYS.items())
+
+
 def all_sql(definitions: dict[str, str] = DEFINITIONS) -> dict[str, str]:
     """Every check; with ``VIEWS`` as definitions, over audit tables that exist."""
     selects = dict(SELECTS)
@@ -648,6 +675,7 @@ def all_sql(definitions: dict[str, str] = DEFINITIONS) -> dict[str, str]:
         "d04b_foreign_key_summary": _orphan_summary(),
         "d05_domain_violations": _domains(),
         "m05_source_scan": _scan(),
+        "m06_key_slices": _key_slices(),
         "r03_supplier_document_validity": _documents(),
         "s01_audit_summary": _summary(),
     }

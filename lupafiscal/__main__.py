@@ -47,11 +47,8 @@ def opened(options: argparse.Namespace) -> Audit:
     if options.csv_tables:
         return ptbr_csv.open_audit(spark, options.csv_tables)
     properties = json.loads(Path(options.properties).read_text()) if options.properties else {}
-    slices = {
-        table: jdbc.find_slices(spark, table, options.jdbc, properties, options.slices)
-        for table in jdbc.SLICE_COLUMNS
-    }
-    return jdbc.open_audit(spark, options.jdbc, properties, {t: s for t, s in slices.items() if s})
+    even = jdbc.find_predicates(spark, options.jdbc, properties, options.slices)
+    return jdbc.open_audit(spark, options.jdbc, properties, predicates=even)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from lupafiscal.audit import Audit
 from lupafiscal.operators.registry import check
 from lupafiscal.operators.report import REPORT, irregularity_report
-from lupafiscal.schemas import SCHEMAS
-from lupafiscal.sources import ptbr_csv
+from lupafiscal.schemas import PRIMARY_KEYS, SCHEMAS
+from lupafiscal.sources import ptbr_csv, slices
+
+KEY_SLICES = 16
 
 
 def write_report(a: Audit, path: str) -> Audit:
@@ -49,3 +51,14 @@ def source_scan(a: Audit) -> DataFrame:
         ).withColumn("tabela", F.lit(name))
 
     return reduce(DataFrame.unionByName, [of(name) for name in SCHEMAS])
+
+
+@check("m06_key_slices")
+def key_slices(a: Audit) -> DataFrame:
+    """Each table cut into even ranges of its primary key, with the rows of each range."""
+    def of(name: str) -> DataFrame:
+        key = PRIMARY_KEYS[name]
+        rows = a.table(name, key)
+        return slices.sizes(rows, slices.balanced(rows, key, KEY_SLICES)).withColumn("tabela", F.lit(name))
+
+    return reduce(DataFrame.unionByName, [of(name) for name in SCHEMAS])

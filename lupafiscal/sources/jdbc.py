@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from lupafiscal.audit import Audit
-from lupafiscal.schemas import SCHEMAS
+from lupafiscal.schemas import PRIMARY_KEYS, SCHEMAS
+from lupafiscal.sources.slices import SAMPLE_KEYS, KeyRange, ranges
 
 
 @dataclass(frozen=True)
@@ -65,6 +66,43 @@ def find_slices(spark: SparkSession, table: str, url: str, properties: Mapping[s
     return Slices(SLICE_COLUMNS[table], str(row["lower"]), str(row["upper"]), count)
 
 
+# How a share of a table's rows is asked for, as PostgreSQL and the SQL standard have it.
+SAMPLING = "TABLESAMPLE BERNOULLI ({percent})"
+
+
+def sample_query(table: str, percent: float, sampling: str = SAMPLING) -> str:
+    """Sampled keys with their place in the database's own order, which its comparisons follow too."""
+    key = PRIMARY_KEYS[table]
+    some = f" {sampling.format(percent=f'{percent:.6f}')}" if percent < 100 else ""
+    return f"SELECT {key} AS slice_key, ROW_NUMBER() OVER (ORDER BY {key}) AS place FROM {table}{some} WHERE {key} IS NOT NULL"
+
+
+def find_ranges(spark: SparkSession, table: str, url: str, properties: Mapping[str, str], count: int,
+                sampling: str = SAMPLING) -> list[KeyRange]:
+    """Ranges of the primary key, number or text, with about equal numbers of rows.
+
+    The database counts the table and sends about ``SAMPLE_KEYS`` keys.
+    """
+    def ask(query: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=url, query=query, **properties).load()
+
+    rows = ask(f"SELECT COUNT(*) AS n FROM {table}").first()["n"]
+    if not rows:
+        return ranges(PRIMARY_KEYS[table], [], count)
+    found = ask(sample_query(table, min(100.0, 100.0 * SAMPLE_KEYS / rows), sampling)).collect()
+    ordered = [row["slice_key"] for row in sorted(found, key=lambda row: row["place"])]
+    return ranges(PRIMARY_KEYS[table], ordered, count)
+
+
+def find_predicates(spark: SparkSession, url: str, properties: Mapping[str, str], count: int,
+                    sampling: str = SAMPLING) -> dict[str, list[str]]:
+    """For ``open_audit``: each of the eight tables in about ``count`` even reads."""
+    return {
+        table: [part.sql() for part in find_ranges(spark, table, url, properties, count, sampling)]
+        for table in SCHEMAS
+    }
+
+
 def open_audit(spark: SparkSession, url: str, properties: Mapping[str, str],
                slices: Mapping[str, Slices] | None = None,
                predicates: Mapping[str, list[str]] | None = None) -> Audit:
