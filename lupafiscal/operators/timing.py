@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lupafiscal import labels
 from lupafiscal.audit import Audit
-from lupafiscal.functions.joins import spread_join
+from lupafiscal.functions.joins import earlier_later
 from lupafiscal.functions.money import total
 from lupafiscal.operators.registry import check
 from lupafiscal.plans import facts
@@ -158,14 +158,15 @@ def finished_but_early(a: Audit) -> DataFrame:
 
 @check("g13_irregular_advances")
 def irregular_advances(a: Audit) -> DataFrame:
-    """One row per early payment and later liquidation of its commitment."""
+    """One row per early payment and later liquidation of its commitment; no other pair is made."""
     early = facts.payments(a, value=False, supplier="inner").filter(facts.before_contract()).select(
         "id_empenho", "id_pagamento", "id_contrato", "nome_fornecedor", "valor_pago",
         "data_pagamento", "data_inicio_contrato")
     delivered = facts.liquidation_rows(a).select(
         "id_empenho", "id_liq_empnf", F.col("data_emissao").alias("data_liquidacao"))
-    pairs = spread_join(early, delivered, "id_empenho",
-                        condition=F.col("data_pagamento") < F.col("data_liquidacao"))
+    firsts = facts.payment_rows(a).groupBy("id_empenho").agg(F.min("data_pagamento").alias("first"))
+    lasts = delivered.groupBy("id_empenho").agg(F.max("data_liquidacao").alias("last"))
+    pairs = earlier_later(early, delivered, "id_empenho", "data_pagamento", "data_liquidacao", firsts, lasts)
     return (
         pairs.orderBy("data_pagamento", "id_pagamento", "id_liq_empnf")
         .select("id_empenho", "id_contrato", F.col("nome_fornecedor").alias("fornecedor"),
