@@ -77,8 +77,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages that other documents have too, of every document with any."""
-    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents")).filter("n_repeated > 0")
+    """The passages of each document that other documents have too."""
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
