@@ -21,7 +21,8 @@ class Audit:
     summed per commitment.  ``report`` is
     the folder ``operators.exchange.write_report`` wrote, for the checks that
     read it back.  ``as_delivered`` reads a table with the types its source has,
-    for the checks of what does not fit.
+    for the checks of what does not fit.  ``colocated``: commitments, payments and
+    liquidations are laid out by commitment, so that joins by it move none of them.
     """
 
     spark: SparkSession
@@ -30,6 +31,7 @@ class Audit:
     commitment_fact: DataFrame | None = None
     report: str | None = None
     as_delivered: TableReader | None = None
+    colocated: bool = False
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return self.reader(name, columns)

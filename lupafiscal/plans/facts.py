@@ -197,7 +197,12 @@ def payments(
         return with_names(a, stored, body, supplier)
     side = commitments(a, value=value, contract=contract, liquidation=liquidation,
                        invoiced=invoiced, body=body, supplier=supplier)
-    return spread_join(payment_rows(a), side, "id_empenho")
+    return by_commitment(a, payment_rows(a), side)
+
+
+def by_commitment(a: Audit, rows: DataFrame, side: DataFrame) -> DataFrame:
+    """Rows with their commitment: moved so that Spark can split a hot one, or where they lie if laid out by it."""
+    return rows.join(side, "id_empenho") if a.colocated else spread_join(rows, side, "id_empenho")
 
 
 def _from_stored(fact: DataFrame, contract: str | None, liquidation: str | None,

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lupafiscal.audit import Audit
-from lupafiscal.functions.joins import spread_join
 from lupafiscal.plans import facts
 
 
@@ -28,7 +27,7 @@ def payment_fact(a: Audit) -> DataFrame:
     known = facts.contracts(a).withColumn("_known", F.lit(True))
     side = side.join(known, "id_contrato", "left")
     side = side.withColumn("contrato_existe", F.col("_known").isNotNull()).drop("_known")
-    fact = spread_join(facts.payment_rows(a), side, "id_empenho")
+    fact = facts.by_commitment(a, facts.payment_rows(a), side)
     return facts.with_invoice_flags(a, fact)
 
 

@@ -21,9 +21,11 @@ def open_audit(spark: SparkSession, root: str) -> Audit:
     return Audit(spark, read, as_delivered=delivered)
 
 
-def write_tables(a: Audit, root: str, mode: str = "errorifexists") -> None:
+def write_tables(a: Audit, root: str, mode: str = "errorifexists", leave_out: tuple[str, ...] = ()) -> None:
     """Commitments are laid out by year, the other tables as they come."""
     for name, schema in SCHEMAS.items():
+        if name in leave_out:
+            continue
         rows = a.table(name, *schema.names)
         writer = rows.write.mode(mode)
         if name == "empenho":
