@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lupafiscal.audit import Audit
+from lupafiscal.functions import bitmaps
 from lupafiscal.functions.joins import distinct_keys, lacking
 from lupafiscal.functions.money import is_bad_money
 from lupafiscal.operators.registry import check
@@ -109,11 +110,20 @@ def _child_counts(a: Audit, fk: ForeignKey) -> DataFrame:
         F.count("*").alias("linhas"))
 
 
+def _is_integer(fk: ForeignKey) -> bool:
+    return isinstance(SCHEMAS[fk.table][fk.column].dataType, T.IntegralType)
+
+
 def _orphan_counts(a: Audit, fk: ForeignKey) -> DataFrame:
-    parents = distinct_keys(a.table(fk.parent, fk.parent_column), fk.parent_column, "chave")
-    children = _child_counts(a, fk).filter(F.col("chave").isNotNull())
-    return lacking(children, parents, "chave").select(
-        F.lit(fk.name).alias("restricao"), F.col("chave").cast("string").alias("chave"), "linhas")
+    """Integer references are compared as bitmaps by range, so that sound ones shuffle no keys."""
+    if _is_integer(fk):
+        children, parents = a.table(fk.table, fk.column), a.table(fk.parent, fk.parent_column)
+        found = bitmaps.missing(children, fk.column, parents, fk.parent_column)
+        found = found.groupBy(F.col(fk.column).alias("chave")).agg(F.count("*").alias("linhas"))
+    else:
+        parents = distinct_keys(a.table(fk.parent, fk.parent_column), fk.parent_column, "chave")
+        found = lacking(_child_counts(a, fk).filter(F.col("chave").isNotNull()), parents, "chave")
+    return found.select(F.lit(fk.name).alias("restricao"), F.col("chave").cast("string").alias("chave"), "linhas")
 
 
 @check("d04_foreign_key_orphans")
@@ -123,11 +133,22 @@ def foreign_key_orphans(a: Audit) -> DataFrame:
 
 @check("d04b_foreign_key_summary")
 def foreign_key_summary(a: Audit) -> DataFrame:
-    def of(fk: ForeignKey) -> DataFrame:
+    zero = F.lit(0).cast("long")
+
+    def of_integers(fk: ForeignKey) -> DataFrame:
+        rows = a.table(fk.table, fk.column).agg(
+            F.count("*").alias("linhas"), F.count_if(F.col(fk.column).isNull()).alias("nulas"),
+            zero.alias("linhas_orfas"), zero.alias("chaves_orfas"))
+        orphans = _orphan_counts(a, fk).agg(
+            zero.alias("linhas"), zero.alias("nulas"), F.coalesce(F.sum("linhas"), zero).alias("linhas_orfas"),
+            F.count("*").alias("chaves_orfas"))
+        figures = ("linhas", "nulas", "linhas_orfas", "chaves_orfas")
+        return rows.unionByName(orphans).agg(*[F.sum(c).alias(c) for c in figures]).withColumn("restricao", F.lit(fk.name))
+
+    def of_texts(fk: ForeignKey) -> DataFrame:
         parents = distinct_keys(a.table(fk.parent, fk.parent_column), fk.parent_column, "chave")
         found = parents.withColumn("_found", F.lit(True))
         orphan = F.col("chave").isNotNull() & F.col("_found").isNull()
-        zero = F.lit(0)
         return _child_counts(a, fk).join(found, "chave", "left").agg(
             F.coalesce(F.sum("linhas"), zero).alias("linhas"),
             F.coalesce(F.sum(F.when(F.col("chave").isNull(), F.col("linhas"))), zero).alias("nulas"),
@@ -135,7 +156,7 @@ def foreign_key_summary(a: Audit) -> DataFrame:
             F.count_if(orphan).alias("chaves_orfas"),
         ).withColumn("restricao", F.lit(fk.name))
 
-    return _union([of(fk) for fk in FOREIGN_KEYS])
+    return _union([of_integers(fk) if _is_integer(fk) else of_texts(fk) for fk in FOREIGN_KEYS])
 
 
 @check("d05_domain_violations")
