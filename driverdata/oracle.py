@@ -554,25 +554,71 @@ def _scan() -> str:
         + f") AS linhas_completas FROM {t}" for t in COLUMNS)
 
 
-def _documents() -> str:
+def _document_status(documento: str) -> str:
     def wrong(weights: tuple[int, ...]) -> str:
-        rest = "(" + " + ".join(f"{w} * CAST(documento[{i}] AS INT)" for i, w in enumerate(weights, 1)) + ") % 11"
-        return f"CAST(documento[{len(weights) + 1}] AS INT) <> IF({rest} < 2, 0, 11 - {rest})"
+        rest = "(" + " + ".join(f"{w} * CAST({documento}[{i}] AS INT)" for i, w in enumerate(weights, 1)) + ") % 11"
+        return f"CAST({documento}[{len(weights) + 1}] AS INT) <> IF({rest} < 2, 0, 11 - {rest})"
 
     def broken(size: int, rules: tuple[tuple[int, ...], ...]) -> str:
-        tests = [wrong(w) for w in rules] + [f"documento = repeat(documento[1], {size})"]
-        return f"LENGTH(documento) = {size} AND ({' OR '.join(tests)})"
+        tests = [wrong(w) for w in rules] + [f"{documento} = repeat({documento}[1], {size})"]
+        return f"LENGTH({documento}) = {size} AND ({' OR '.join(tests)})"
 
-    return f"""
-        SELECT id_fornecedor, nome, documento,
-               CASE WHEN documento IS NULL OR NOT regexp_full_match(documento, '[0-9]+') THEN 'NAO_NUMERICO'
-                    WHEN LENGTH(documento) NOT IN (11, 14) THEN 'TAMANHO_INVALIDO'
+    return f"""CASE WHEN {documento} IS NULL OR NOT regexp_full_match({documento}, '[0-9]+') THEN 'NAO_NUMERICO'
+                    WHEN LENGTH({documento}) NOT IN (11, 14) THEN 'TAMANHO_INVALIDO'
                     WHEN {broken(11, CPF_WEIGHTS)} THEN 'DIGITO_VERIFICADOR_INVALIDO'
                     WHEN {broken(14, CNPJ_WEIGHTS)} THEN 'DIGITO_VERIFICADOR_INVALIDO'
-                    ELSE 'VALIDO' END AS situacao_documento
+                    ELSE 'VALIDO' END"""
+
+
+def _documents() -> str:
+    return f"""
+        SELECT id_fornecedor, nome, documento, {_document_status("documento")} AS situacao_documento
         FROM fornecedor"""
 
 
+def _repaired(source: str) -> str:
+    """Documents of ``source`` with their status and the valid ones that an invalid one may stand for."""
+    return f"""
+        SELECT documento, situacao, list_sort(list(candidato) FILTER (WHERE valido = 'VALIDO' AND situacao <> 'VALIDO')) AS achados
+        FROM (
+          SELECT documento, situacao, candidato, {_document_status("candidato")} AS valido
+          FROM (
+            SELECT DISTINCT documento, situacao, unnest(list_concat([so, '0' || so],
+                     [so[1 : i - 1] || so[i + 1 : length(so)] for i in range(1, length(so) + 1)])) AS candidato
+            FROM (SELECT DISTINCT documento, {_document_status("documento")} AS situacao,
+                         regexp_replace(documento, '[^0-9]', '', 'g') AS so
+                  FROM ({source}) WHERE documento IS NOT NULL)))
+        GROUP BY documento, situacao"""
+
+
+def _document_repair() -> str:
+    return f"""
+        SELECT id_fornecedor, nome, f.documento, {_document_status("f.documento")} AS situacao_documento,
+               CASE WHEN coalesce(len(achados), 0) = 0 THEN 'SEM_CANDIDATO' WHEN len(achados) = 1 THEN 'CORRIGIDO' ELSE 'AMBIGUO' END
+                 AS situacao_correcao,
+               CASE WHEN len(achados) = 1 THEN achados[1] END AS documento_corrigido,
+               coalesce(array_to_string(achados, ','), '') AS candidatos
+        FROM fornecedor f LEFT JOIN ({_repaired("SELECT documento FROM fornecedor")}) r ON r.documento = f.documento
+        WHERE {_document_status("f.documento")} <> 'VALIDO'"""
+
+
+def _divergence_canonical() -> str:
+    source = "SELECT documento FROM fornecedor UNION SELECT cnpj_emitente FROM nfe"
+    return f"""
+        SELECT f.nome AS fornecedor, numero_nfe, valor_total_nfe AS valor_real_da_nota, valor AS valor_lancado_no_sistema,
+               CAST(valor_total_nfe - valor AS DECIMAL(18,2)) AS divergencia_fiscal, id_empenho, documento_emitente
+        FROM (
+          SELECT n.numero_nfe, n.valor_total_nfe, l.valor, l.id_empenho,
+                 CASE WHEN len(achados) = 1 THEN achados[1] ELSE cnpj_emitente END AS documento_emitente
+          FROM liquidacao_nota_fiscal l JOIN nfe n ON n.chave_nfe = l.chave_danfe
+          JOIN empenho e ON e.id_empenho = l.id_empenho
+          LEFT JOIN ({_repaired(source)}) r ON r.documento = n.cnpj_emitente
+          WHERE l.valor <> n.valor_total_nfe)
+        LEFT JOIN (
+          SELECT nome, CASE WHEN len(achados) = 1 THEN achados[1] ELSE f.documento END AS meant
+          FROM fornecedor f LEFT JOIN ({_repaired(source)}) r ON r.documento = f.documento) f ON meant = documento_emitente"""
+
+
 def _summary() -> str:
     figures = {
         "empenhos_emitidos": "COUNT(*) FROM empenho",
@@ -677,6 +723,8 @@ def all_sql(definitions: dict[str, str] = DEFINITIONS) -> dict[str, str]:
         "m05_source_scan": _scan(),
         "m06_key_slices": _key_slices(),
         "r03_supplier_document_validity": _documents(),
+        "r03b_supplier_document_repair": _document_repair(),
+        "q31b_invoice_divergence_canonical": _divergence_canonical(),
         "s01_audit_summary": _summary(),
     }
     return {name: with_definitions(sql, definitions) for name, sql in selects.items()}

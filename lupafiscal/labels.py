@@ -66,3 +66,8 @@ FINDING_OPEN_OVERVALUED = "EMPENHO MAIOR QUE CONTRATO (SEM LIQUIDAÇÃO)"
 FINDING_OVER_COMMITMENT = "PAGO A MAIOR QUE EMPENHO"
 FINDING_CRITICAL = "CRITICO: SOBREPREÇO + SEM LIQUIDAÇÃO"
 FINDING_ORPHAN = "REGISTRO ORFÃO (SEM LIQUIDAÇÃO VINCULADA)"
+
+# What is done about an invalid supplier document
+DOCUMENT_REPAIRED = "CORRIGIDO"
+DOCUMENT_AMBIGUOUS = "AMBIGUO"
+DOCUMENT_UNKNOWN = "SEM_CANDIDATO"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lupafiscal import labels
 from lupafiscal.audit import Audit
-from lupafiscal.functions.joins import distinct_keys, having, lacking
+from lupafiscal.functions.documents import canonical
+from lupafiscal.functions.joins import distinct_keys, having, lacking, spread_join
 from lupafiscal.functions.money import TOTAL, difference, total
 from lupafiscal.operators.registry import check
 from lupafiscal.plans import facts
@@ -59,27 +60,45 @@ def paid_over_invoices_corrected(a: Audit) -> DataFrame:
         .join(facts.suppliers(a), "id_fornecedor"))
 
 
-@check("q31_invoice_divergence")
-def invoice_divergence(a: Audit) -> DataFrame:
+def _differing(a: Audit) -> DataFrame:
+    """Invoices of known commitments whose amount isn't the liquidated one."""
     n = a.table("nfe", "chave_nfe", "numero_nfe", "cnpj_emitente", "valor_total_nfe")
     booked = facts.liquidation_rows(a).select(
         F.col("chave_danfe").alias("chave_nfe"), "id_empenho", "id_liq_empnf", "valor_liquidado")
     differing = booked.join(n, "chave_nfe").filter("valor_total_nfe <> valor_liquidado")
-    known = a.table("empenho", "id_empenho")
-    issuers = a.table("fornecedor", "nome", "documento").withColumnRenamed(
-        "documento", "cnpj_emitente")
+    return having(differing, a.table("empenho", "id_empenho"), "id_empenho")
+
+
+def _divergence(rows: DataFrame, *more: str) -> DataFrame:
     return (
-        having(differing, known, "id_empenho")
-        .join(issuers, "cnpj_emitente")
-        .withColumn("divergencia_fiscal", difference("valor_total_nfe", "valor_liquidado"))
+        rows.withColumn("divergencia_fiscal", difference("valor_total_nfe", "valor_liquidado"))
         .orderBy(F.desc(F.abs("divergencia_fiscal")), "id_liq_empnf")
         .select(F.col("nome").alias("fornecedor"), "numero_nfe",
                 F.col("valor_total_nfe").alias("valor_real_da_nota"),
                 F.col("valor_liquidado").alias("valor_lancado_no_sistema"),
-                "divergencia_fiscal", "id_empenho")
+                "divergencia_fiscal", "id_empenho", *more)
     )
 
 
+@check("q31_invoice_divergence")
+def invoice_divergence(a: Audit) -> DataFrame:
+    issuers = a.table("fornecedor", "nome", "documento").withColumnRenamed(
+        "documento", "cnpj_emitente")
+    return _divergence(_differing(a).join(issuers, "cnpj_emitente"))
+
+
+@check("q31b_invoice_divergence_canonical")
+def invoice_divergence_canonical(a: Audit) -> DataFrame:
+    """Issuer and supplier meet by the valid document that each one's stands for, or as written
+    if it stands for none; an invoice of no known supplier is listed without one."""
+    def meant(column: str):
+        return F.coalesce(canonical(F.col(column)), F.col(column))
+
+    issuers = a.table("fornecedor", "nome", "documento").select("nome", meant("documento").alias("documento_emitente"))
+    rows = _differing(a).withColumn("documento_emitente", meant("cnpj_emitente"))
+    return _divergence(spread_join(rows, issuers, "documento_emitente", "left"), "documento_emitente")
+
+
 @check("q32_modus_operandi", "g14_modus_operandi")
 def modus_operandi(a: Audit) -> DataFrame:
     """Matched on the amount; equal amounts are counted first, so that an amount that

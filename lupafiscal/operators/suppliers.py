@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import labels
 from lupafiscal.audit import Audit
-from lupafiscal.functions.documents import document_status
+from lupafiscal.functions.documents import document_status, repairs
 from lupafiscal.functions.money import TOTAL, total
 from lupafiscal.operators.registry import check
 from lupafiscal.plans import facts
@@ -88,3 +89,19 @@ def supplier_document_validity(a: Audit) -> DataFrame:
     f = a.table("fornecedor", "id_fornecedor", "nome", "documento")
     return f.select("id_fornecedor", "nome", "documento",
                     document_status(F.col("documento")).alias("situacao_documento"))
+
+
+@check("r03b_supplier_document_repair")
+def supplier_document_repair(a: Audit) -> DataFrame:
+    """Suppliers with an invalid document, and the valid one it stands for if there is just one."""
+    f = a.table("fornecedor", "id_fornecedor", "nome", "documento")
+    broken = f.withColumn("situacao_documento", document_status(F.col("documento"))).filter("situacao_documento <> 'VALIDO'")
+    found = broken.withColumn("_found", F.coalesce(repairs(F.col("documento")), F.array().cast("array<string>")))
+    n = F.size("_found")
+    return found.select(
+        "id_fornecedor", "nome", "documento", "situacao_documento",
+        F.when(n == 1, F.lit(labels.DOCUMENT_REPAIRED)).when(n > 1, F.lit(labels.DOCUMENT_AMBIGUOUS))
+        .otherwise(F.lit(labels.DOCUMENT_UNKNOWN)).alias("situacao_correcao"),
+        F.when(n == 1, F.get("_found", F.lit(0))).alias("documento_corrigido"),
+        F.array_join("_found", ",").alias("candidatos"),
+    )
