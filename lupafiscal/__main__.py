@@ -19,6 +19,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     source.add_argument("--tables", help="folder with one Parquet folder per table")
     source.add_argument("--csv-tables", help="folder with one Brazilian-format CSV folder per table")
     source.add_argument("--jdbc", metavar="URL", help="database with the tables; see --properties")
+    parser.add_argument("--quarantine", metavar="PATH", help="load what can be read of CSV tables, write bad lines here")
     parser.add_argument("--properties", metavar="FILE", help="JSON object: driver, user, password and the like")
     parser.add_argument("--slices", type=int, default=64, help="parallel reads of each database table")
     parser.add_argument("--input-bytes", type=int, help="size of the largest table's columns; measured for files")
@@ -45,7 +46,9 @@ def opened(options: argparse.Namespace) -> Audit:
     if options.tables:
         return parquet.open_audit(spark, options.tables)
     if options.csv_tables:
-        return ptbr_csv.open_audit(spark, options.csv_tables)
+        if options.quarantine:
+            ptbr_csv.write_quarantine(spark, options.csv_tables, options.quarantine)
+        return ptbr_csv.open_audit(spark, options.csv_tables, leave_bad_lines=bool(options.quarantine))
     properties = json.loads(Path(options.properties).read_text()) if options.properties else {}
     even = jdbc.find_predicates(spark, options.jdbc, properties, options.slices)
     return jdbc.open_audit(spark, options.jdbc, properties, predicates=even)

@@ -38,6 +38,11 @@ def from_ptbr(text: Column | str, dtype: str = "decimal(15,2)") -> Column:
     return _plain(text).cast(dtype)
 
 
+def try_ptbr(text: Column | str, dtype: str = "decimal(15,2)") -> Column:
+    """The same, but null for text that is no number or does not fit."""
+    return _plain(text).try_cast(dtype)
+
+
 def is_bad_money(text: Column | str, dtype: str = "decimal(15,2)") -> Column:
     """True where a text is given but is no number that fits ``dtype``."""
     text = F.col(text) if isinstance(text, str) else text

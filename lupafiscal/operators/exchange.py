@@ -17,8 +17,9 @@ KEY_SLICES = 16
 
 
 def write_report(a: Audit, path: str) -> Audit:
-    """Writes the report to ``path`` once; the handle it returns reads it from there."""
+    """Writes the report to ``path`` once and seals it; the handle it returns reads it from there."""
     ptbr_csv.write(irregularity_report(a), path)
+    ptbr_csv.seal(a.spark, path)
     return a.with_report(path)
 
 
@@ -36,7 +37,8 @@ def csv_sink(a: Audit) -> DataFrame:
 
 @check("m03_csv_source")
 def csv_source(a: Audit) -> DataFrame:
-    """The written report read back with its types."""
+    """The written report read back with its types, if all its files are there as written."""
+    ptbr_csv.verify(a.spark, _report_path(a))
     return ptbr_csv.read(a.spark, _report_path(a), REPORT)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lupafiscal.audit import Audit
-from lupafiscal.functions.money import from_ptbr, is_bad_money, to_ptbr
+from lupafiscal.functions.money import from_ptbr, is_bad_money, to_ptbr, try_ptbr
 from lupafiscal.schemas import SCHEMAS
 
 BOM = "\ufeff"
@@ -98,12 +98,118 @@ def write(df: DataFrame, path: str, bom: bool = True, mode: str = "errorifexists
                    emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode=mode)
 
 
-def open_audit(spark: SparkSession, root: str, date_format: str = ISO_DATE, line_breaks: bool = False) -> Audit:
-    """The eight tables as CSV folders (or files) below one root."""
+MANIFEST = "_manifest"
+
+
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """``arquivo``, ``linhas`` and ``soma`` of each part file: the lines, in any order, are summed as hashes."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("arquivo"), "value")
+    return lines.groupBy("arquivo").agg(
+        F.count("*").alias("linhas"), F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("soma"))
+
+
+def seal(spark: SparkSession, path: str) -> None:
+    """Lists the part files of a finished dataset with their lines and sums, beside them."""
+    _contents(spark, path).coalesce(1).write.parquet(f"{path.rstrip('/')}/{MANIFEST}")
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises if a part file of a sealed dataset is missing, changed or not listed, as a copy of one is."""
+    listed = spark.read.parquet(f"{path.rstrip('/')}/{MANIFEST}").alias("listed")
+    both = listed.join(_contents(spark, path).alias("found"), "arquivo", "full")
+    wrong = both.filter(
+        ~(F.col("listed.linhas").eqNullSafe(F.col("found.linhas")) & F.col("listed.soma").eqNullSafe(F.col("found.soma")))
+    ).select("arquivo", F.when(F.col("found.linhas").isNull(), "missing").when(F.col("listed.linhas").isNull(), "not listed")
+             .otherwise("changed").alias("how"))
+    some = wrong.orderBy("arquivo").limit(10).collect()
+    if some:
+        raise ValueError(f"{path}: " + ", ".join(f"{row.arquivo} {row.how}" for row in some))
+
+
+SEPARATED = {"sep": ";", "quote": '"', "escape": '"', "nullValue": NO_TEXT, "emptyValue": "",
+             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+BAD_LINE = "_linha_ruim"
+HEADER = "CABECALHO"
+
+
+def read_apart(spark: SparkSession, path: str, schema: T.StructType,
+               date_format: str = ISO_DATE) -> tuple[DataFrame, DataFrame]:
+    """The rows that can be read, typed as ``read`` does, and the lines that cannot.
+
+    A line is bad for its quotes (one is left open), its number of fields, or a value
+    that doesn't fit its column.  Bad lines have ``arquivo``, ``bloco`` (the byte at which
+    the part of the file that a task read begins), ``linha`` (the line's number in it, from
+    0), ``motivo`` and ``texto``.  Every line but headers and empty ones is in one of both.
+    Fields hold no line breaks.  A file whose header differs from the first one's raises.
+    """
+    written = _header(spark, path)
+    plain = {name.removeprefix(BOM): name for name in written}
+    missing = [f.name for f in schema if f.name not in plain]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("arquivo"), F.col("_metadata.file_block_start").alias("bloco"),
+        F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "\\r$", "").alias("texto"))
+    # Lines are numbered as a task reads them; the first of each block is known from a count of one row a block.
+    starts = lines.groupBy("arquivo", "bloco").agg(F.min("place").alias("first"))
+    lines = lines.join(starts, ["arquivo", "bloco"]).withColumn("linha", F.col("place") - F.col("first"))
+    header = (F.col("bloco") == 0) & (F.col("linha") == 0)
+    names = F.split(F.regexp_replace(F.regexp_replace("texto", f"^{BOM}", ""), '"', ""), ";")
+    expected = F.array(*[F.lit(name.removeprefix(BOM)) for name in written])
+    other = F.raise_error(F.concat("arquivo", F.lit(": another header"))).cast("boolean")
+    is_header = F.when(header, F.when(names == expected, F.lit(True)).otherwise(other)).otherwise(F.lit(False))
+    fields = T.StructType([*[T.StructField(name, T.StringType()) for name in written], T.StructField(BAD_LINE, T.StringType())])
+    options = SEPARATED | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    parsed = lines.filter(F.col("texto") != "").withColumn("fields", F.from_csv("texto", _ddl(fields), options))
+
+    def typed(field: T.StructField):
+        text = F.col("fields").getField(plain[field.name])
+        if isinstance(field.dataType, T.DecimalType):
+            return try_ptbr(text, field.dataType.simpleString()), text
+        if isinstance(field.dataType, T.DateType):
+            return F.try_to_date(text, date_format), text
+        return text.try_cast(field.dataType), text
+
+    pairs = [(f.name, *typed(f)) for f in schema]
+    unfit = F.lit(None).cast("string")
+    for name, value, text in reversed(pairs):
+        unfit = F.when(text.isNotNull() & value.isNull(), F.lit(name)).otherwise(unfit)
+    quotes = F.length("texto") - F.length(F.replace("texto", F.lit('"'), F.lit("")))
+    # The header is judged with the rest, so that no filter on the reason comes before it.
+    reason = (
+        F.when(is_header, F.lit(HEADER)).when(quotes % 2 == 1, F.lit("ASPAS")).when(F.col("fields").getField(BAD_LINE).isNotNull(), F.lit("CAMPOS"))
+        .when(unfit.isNotNull(), F.concat(F.lit("VALOR: "), unfit))
+    )
+    judged = parsed.withColumn("motivo", reason)
+    good = judged.filter("motivo is null").select([value.alias(name) for name, value, _ in pairs])
+    return good, judged.filter(F.col("motivo") != HEADER).select("arquivo", "bloco", "linha", "motivo", "texto")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def write_quarantine(spark: SparkSession, root: str, path: str, date_format: str = ISO_DATE) -> None:
+    """Writes the bad lines of all eight tables as Parquet, one folder per table."""
+    for name, schema in SCHEMAS.items():
+        read_apart(spark, f"{root.rstrip('/')}/{name}", schema, date_format)[1].write.parquet(f"{path.rstrip('/')}/{name}")
+
+
+def open_audit(spark: SparkSession, root: str, date_format: str = ISO_DATE, line_breaks: bool = False,
+               leave_bad_lines: bool = False) -> Audit:
+    """The eight tables as CSV folders (or files) below one root.
+
+    ``leave_bad_lines``: lines that cannot be read are left out; see ``write_quarantine``.
+    """
+    if leave_bad_lines and line_breaks:
+        raise ValueError("lines cannot be told apart where fields hold line breaks")
+
     def path(name: str) -> str:
         return f"{root.rstrip('/')}/{name}"
 
     def read_table(name: str, columns: tuple[str, ...]) -> DataFrame:
+        if leave_bad_lines:
+            return read_apart(spark, path(name), SCHEMAS[name], date_format)[0].select(*(columns or ["*"]))
         return read(spark, path(name), SCHEMAS[name], date_format, line_breaks).select(*(columns or ["*"]))
 
     def delivered(name: str, columns: tuple[str, ...]) -> DataFrame:
