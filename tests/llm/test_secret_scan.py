@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lupafiscal.llm import secret_scan
@@ -91,14 +94,119 @@ def test_empty_table(spark):
     assert secret_scan.scan(cases.documents(spark, [])).count() == 0
 
 
+def labelled_documents():
+    return [(i, f"token={r} {' '.join(ordinary_strings(i, 8)).replace('_', ' ')}") for i, r in enumerate(random_strings(1, 400))]
+
+
+# Ordinary strings with every joining character, a name in camel case, and identifiers.
+JOINED = [
+    "ther-on-andre-in-ofor-hias-2024", "ther/enes/of/inhised/attohe", "/andher/thisen/hatoro/innder3/tohias",
+    "therOnAndreInOfOrHias", "thor_ended_intoher_hitstori", "hand-1234-add-enter-his-andation", "onen-of/ther_inhas-tohened",
+    "123e4567-e89b-12d3-a456-426614174000", "123E4567-E89B-12D3-A456-426614174000",
+]
+
+
+def test_slugs_paths_and_identifiers_are_not_added(spark):
+    rng = random.Random(21)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    held = [(3000 + i, f"key {''.join(rng.choice(alphabet) for _ in range(40))} end") for i in range(100)]
+    plain = [(2000 + i, f"see {s} here") for i, s in enumerate(JOINED)]
+    plain += [(2100 + i, f"see {s.replace('_', rng.choice('-/_+'))} here") for i, s in enumerate(ordinary_strings(90_001, 100))]
+    found = {r.doc_id: r.added for r in secret_scan.scan(cases.documents(spark, labelled_documents() + held + plain), keep=("doc_id",)).collect()}
+    assert [s for d, s in plain if found[d]] == []
+    assert sum(bool(found[d]) for d, _ in held) >= 95
+
+
+def test_no_verdict_without_strings_to_train_on(spark):
+    judged = [(1, "Hippopotomonstrosesquippedaliophobia"), (2, "how-to-fix-broken-build-pipelines-in-2024")]
+    unlabelled = judged + [(3, "only ordinary words about many things " * 20)]
+    unworded = judged + [(4, "token=Zx81Kq0PzLm37TgYw2Rb")]
+    for own in (judged, unlabelled, unworded):
+        assert all(not r.added for r in secret_scan.scan(cases.documents(spark, own)).collect())
+
+
+def modelled(texts):
+    """Ratios of steps, and the threshold, in plain Python."""
+    def counts(strings):
+        trained, held = Counter(), Counter()
+        for s in strings:
+            into = held if xxhash.xxh64(s.encode(), seed=42).intdigest() % secret_scan.HELD_OUT == 0 else trained
+            into.update(p for p in zip(s, s[1:]) if p[0] in secret_scan.ALPHABET and p[1] in secret_scan.ALPHABET)
+        return trained, held or trained
+
+    labelled, words = [], []
+    for text in texts:
+        text = text or ""
+        for start, kind, end in base(text):
+            labelled.append(ASSIGN.match(text, start)[1] if kind == 0 else text[start:end])
+        rest = re.sub(f"{ASSIGN.pattern}|AKIA[A-Z0-9]{{16,}}|[0-9a-f]{{24,}}|[A-Za-z0-9+/_-]{{16,}}", " ", text)
+        words += re.findall("[A-Za-z0-9]{2,}", rest)
+    (random_steps, random_held), (plain_steps, plain_held) = counts(labelled), counts(words)
+    letters = secret_scan.ALPHABET
+
+    def log(trained, a, b):
+        line = sum(trained[a, x] + secret_scan.SMOOTHING / len(letters) for x in letters)
+        share = (trained[a, b] + secret_scan.SMOOTHING / len(letters)) / line
+        return math.log((1 - secret_scan.UNIFORM) * share + secret_scan.UNIFORM / len(letters))
+
+    ratio = {(a, b): log(random_steps, a, b) - log(plain_steps, a, b) for a in letters for b in letters}
+    mean = lambda held: sum(n * ratio[p] for p, n in held.items()) / sum(held.values())
+    high, low = mean(random_held), mean(plain_held)
+    held = [s for s in labelled if len(s) >= 16 and xxhash.xxh64(s.encode(), seed=42).intdigest() % secret_scan.HELD_OUT == 0]
+    scores = sorted(math.floor(100 * average) for average in (scored(s, ratio) for s in held) if average is not None)
+    spread = math.sqrt(sum(n * (ratio[p] - high) ** 2 for p, n in random_held.items()) / sum(random_held.values()))
+    reached = scores[math.floor(len(scores) * secret_scan.MISSED)] / 100
+    return ratio, max((high + low) / 2, min(high - secret_scan.ERRORS * spread / math.sqrt(15), reached))
+
+
+def scored(s, ratio):
+    steps = [ratio[p] for p in zip(s, s[1:]) if p in ratio]
+    return sum(steps) / len(steps) if steps else None
+
+
+def added(text, ratio, threshold):
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text or ""):
+        letters = sum(c.isascii() and c.isalpha() for c in m[0])
+        score = scored(m[0], ratio)
+        if any(a < m.end() and m.start() < b for a, _, b in base(text)) or re.match(secret_scan.UUID, m[0]):
+            continue
+        if (letters >= 16 or letters and re.search("[0-9]", m[0])) and score is not None and score >= threshold:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_added_spans_equal_plain_python(spark):
+    rng = random.Random(33)
+    pieces = [*random_strings(5, 30), *ordinary_strings(6, 30), *JOINED, "token=", "password: ", " ", "\n", ".", "é", "-", "/", "+", "AKIA" + "Q7" * 9, "feed" * 7, "9" * 20]
+    mixed = [(5000 + i, "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(25)))) for i in range(200)]
+    everything = [(None, t) for t in cases.odd_texts()] + rows() + labelled_documents() + mixed + mixed[:3]
+    ratio, threshold = modelled([t for _, t in everything])
+    got = secret_scan.scan(cases.documents(spark, everything), keep=("text",)).collect()
+    assert len(got) == len(everything)
+    assert sum(len(r.added) for r in got) > 100
+    for r in got:
+        assert [(s.start, s.end) for s in r.added] == added(r.text, ratio, threshold)
+
+
+def test_a_text_of_very_many_matches(spark):
+    rng = random.Random(8)
+    keys = [rng.choice(["", "token="]) + "".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(20_000)]
+    text = " ".join(keys)
+    began = time.monotonic()
+    [r] = secret_scan.scan(cases.documents(spark, [(1, text)]), keep=("text",)).collect()
+    assert time.monotonic() - began < 40
+    assert sorted((s.start, s.kind, s.end) for s in r.base) == base(text)
+
+
 def test_ordinary_words_of_all_documents_are_counted(spark, monkeypatch):
     rows = [(i, f"{cases.prose(i, 5)} Name{i}") for i in range(2100)]
     rows += [(7, f"often repeated words{i % 10}") for i in range(1000)] + [(None, "without number"), (9, "token=Zx81Kq0PzLm37Tg then"), (None, None)]
-    seen = []
+    seen = Counter()
 
     def ratios(random, ordinary):
-        seen.append({(r.a, r.b): r.n for r in ordinary.collect()})
-        return [0.0] * secret_scan.SYMBOLS**2
+        for r in ordinary.collect():
+            seen[r.a, r.b] += r.n
 
     monkeypatch.setattr(secret_scan, "ratios", ratios)
     secret_scan.scan(cases.documents(spark, rows))
@@ -107,4 +215,4 @@ def test_ordinary_words_of_all_documents_are_counted(spark, monkeypatch):
         for word in re.findall(secret_scan.WORD, ASSIGN.sub(" ", text or "")):
             codes = [secret_scan.ALPHABET.find(c) + 1 for c in word]
             want.update(zip(codes, codes[1:]))
-    assert seen == [dict(want)]
+    assert seen == want
