@@ -397,6 +397,25 @@ SELECTS: dict[str, str] = {
                COUNT(*) FILTER (dia < inicio) AS qtd_pagamentos_antecipados,
                CAST(SUM(pago) AS DECIMAL(38,2)) AS total_recebido_geral
         FROM risco_fornecedor GROUP BY nome, documento""",
+    "s02_supplier_exposure": """
+        SELECT criterio, lugar, fornecedor, cnpj, saldo_excedente_recebido, qtd_pagamentos_antecipados
+        FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY criterio ORDER BY saldo_excedente_recebido DESC NULLS LAST,
+                       cnpj ASC NULLS FIRST, fornecedor ASC NULLS FIRST, qtd_pagamentos_antecipados DESC) AS INT) AS lugar
+              FROM (SELECT 'RECEBIDO_MENOS_CONTRATOS' AS criterio, f.nome AS fornecedor, f.documento AS cnpj,
+                           CAST(SUM(pago) - SUM(DISTINCT teto) AS DECIMAL(38,2)) AS saldo_excedente_recebido,
+                           COUNT(*) FILTER (dia < inicio) AS qtd_pagamentos_antecipados
+                    FROM ciclo k JOIN fornecedor f ON f.id_fornecedor = k.id_fornecedor
+                    GROUP BY f.id_fornecedor, f.nome, f.documento
+                    UNION ALL
+                    SELECT 'EXCESSO_POR_PAGAMENTO', nome, documento, CAST(SUM(excesso) AS DECIMAL(38,2)),
+                           COUNT(*) FILTER (dia < inicio)
+                    FROM risco_fornecedor GROUP BY nome, documento
+                    UNION ALL
+                    SELECT 'EXCESSO_POR_EMPENHO', nome, documento,
+                           CAST(COALESCE(SUM(excesso) FILTER (ordem = 1), 0) AS DECIMAL(38,2)),
+                           COUNT(*) FILTER (dia < inicio)
+                    FROM risco_fornecedor GROUP BY nome, documento))
+        WHERE lugar <= 3""",
     "g08_open_overvalued_contracts": """
         SELECT id_contrato, id_empenho, f.nome AS fornecedor, teto AS valor_contrato,
                reservado AS valor_reservado_empenho,

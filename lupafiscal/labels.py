@@ -71,3 +71,8 @@ FINDING_ORPHAN = "REGISTRO ORFÃO (SEM LIQUIDAÇÃO VINCULADA)"
 DOCUMENT_REPAIRED = "CORRIGIDO"
 DOCUMENT_AMBIGUOUS = "AMBIGUO"
 DOCUMENT_UNKNOWN = "SEM_CANDIDATO"
+
+# How a supplier's excess is reckoned
+EXPOSURE_NET = "RECEBIDO_MENOS_CONTRATOS"
+EXPOSURE_PER_PAYMENT = "EXCESSO_POR_PAGAMENTO"
+EXPOSURE_ONCE = "EXCESSO_POR_EMPENHO"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lupafiscal import labels
@@ -39,21 +39,26 @@ def supplier_dossier(a: Audit) -> DataFrame:
     )
 
 
+def _by_commitment(a: Audit) -> DataFrame:
+    """Each commitment's payments, their sum and how many are early, and its excess over the contract."""
+    sums = (
+        facts.payments(a, value=False)
+        .groupBy("id_empenho", "id_fornecedor", "valor_contrato")
+        .agg(F.count("*").alias("n"), F.sum("valor_pago").alias("pago"), _early().alias("cedo"))
+    )
+    over = F.col("pago") - F.col("valor_contrato")
+    return sums.withColumn("excesso", F.greatest(over, F.lit(0).cast("decimal(26,2)")))
+
+
 def _risk(a: Audit, once: bool) -> DataFrame:
     """Excess of each commitment's payments over its contract, by supplier.
 
     The report adds a commitment's excess once per payment; ``once`` adds it
     once.  Summed per commitment, then supplier, then name and document.
     """
-    per_commitment = (
-        facts.payments(a, value=False)
-        .groupBy("id_empenho", "id_fornecedor", "valor_contrato")
-        .agg(F.count("*").alias("n"), F.sum("valor_pago").alias("pago"), _early().alias("cedo"))
-    )
-    excess = F.greatest(F.col("pago") - F.col("valor_contrato"), F.lit(0).cast("decimal(26,2)"))
     weight = F.lit(1) if once else F.col("n")
-    per_supplier = per_commitment.groupBy("id_fornecedor").agg(
-        F.sum(excess * weight).alias("excesso"), F.sum("cedo").alias("cedo"),
+    per_supplier = _by_commitment(a).groupBy("id_fornecedor").agg(
+        F.sum(F.col("excesso") * weight).alias("excesso"), F.sum("cedo").alias("cedo"),
         F.sum("pago").alias("pago"))
     return (
         per_supplier.join(facts.suppliers(a), "id_fornecedor")
@@ -83,6 +88,40 @@ def supplier_risk_dossier(a: Audit) -> DataFrame:
         "qtd_pagamentos_antecipados")
 
 
+MOST_EXPOSED = 3
+
+
+@check("s02_supplier_exposure")
+def supplier_exposure(a: Audit) -> DataFrame:
+    """The summary's suppliers of greatest excess, the first ``MOST_EXPOSED`` by each way to reckon it.
+
+    The ways are those of ``q34`` (by supplier), ``g04`` and ``g04b`` (by name and
+    document).  All come from one pass over the payments; before the suppliers of one
+    way meet in a task, each task keeps its own first ones.
+    """
+    sums = _by_commitment(a).groupBy("id_fornecedor").agg(
+        (F.sum("pago") - F.sum_distinct("valor_contrato")).alias("liquido"),
+        F.sum(F.col("excesso") * F.col("n")).alias("repetido"),
+        F.sum("excesso").alias("unico"), F.sum("cedo").alias("cedo"),
+    )
+    ways = (
+        f"stack(3, '{labels.EXPOSURE_NET}', id_fornecedor, cast(liquido as {TOTAL}), "
+        f"'{labels.EXPOSURE_PER_PAYMENT}', null, cast(repetido as {TOTAL}), "
+        f"'{labels.EXPOSURE_ONCE}', null, cast(unico as {TOTAL})) as (criterio, _id, saldo)"
+    )
+    named = sums.join(facts.suppliers(a), "id_fornecedor").selectExpr(
+        ways, "nome_fornecedor as fornecedor", "documento_fornecedor as cnpj", "cedo")
+    rows = named.groupBy("criterio", "_id", "fornecedor", "cnpj").agg(
+        total("saldo").alias("saldo_excedente_recebido"), F.sum("cedo").alias("qtd_pagamentos_antecipados"))
+    order = Window.partitionBy("criterio").orderBy(
+        F.desc_nulls_last("saldo_excedente_recebido"), F.asc_nulls_first("cnpj"),
+        F.asc_nulls_first("fornecedor"), F.desc("qtd_pagamentos_antecipados"))
+    return (
+        rows.withColumn("lugar", F.row_number().over(order)).filter(F.col("lugar") <= MOST_EXPOSED)
+        .select("criterio", "lugar", "fornecedor", "cnpj", "saldo_excedente_recebido", "qtd_pagamentos_antecipados")
+    )
+
+
 @check("r03_supplier_document_validity")
 def supplier_document_validity(a: Audit) -> DataFrame:
     """Every supplier with the first rule its document breaks, or VALIDO."""

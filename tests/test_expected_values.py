@@ -50,6 +50,21 @@ def test_supplier_ranking_repeats_an_excess_and_its_variant_does_not(audit):
     assert once["11222333000181"] == m("250.01")
 
 
+def test_most_exposed_suppliers_agree_with_the_full_rankings(audit):
+    rows = found(audit, "s02_supplier_exposure", "criterio", "lugar", "cnpj", "saldo_excedente_recebido")
+    first = {criterio: (cnpj, saldo) for criterio, lugar, cnpj, saldo in rows if lugar == 1}
+    assert first == {
+        "RECEBIDO_MENOS_CONTRATOS": ("11222333000181", m("450.01")),
+        "EXCESSO_POR_PAGAMENTO": ("11222333000181", m("500.02")),
+        "EXCESSO_POR_EMPENHO": ("11222333000181", m("250.01")),
+    }
+    for criterio, name in [("RECEBIDO_MENOS_CONTRATOS", "q34_supplier_dossier"),
+                           ("EXCESSO_POR_PAGAMENTO", "g04_supplier_risk_ranking"),
+                           ("EXCESSO_POR_EMPENHO", "g04b_supplier_risk_ranking_once")]:
+        every = sorted((r[0] for r in found(audit, name, "saldo_excedente_recebido")), reverse=True)
+        assert [saldo for own, _, _, saldo in sorted(rows) if own == criterio] == every[:3]
+
+
 def test_start_day_is_neither_before_nor_during(audit):
     assert found(audit, "q20_finished_payment_dates") == [
         ("PAGAMENTO_ANTES_DA_VIGENCIA", 2, m("160.01")),
