@@ -226,11 +226,18 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"c": ids[kept], "links": found[kept], "label": label[kept]})
 
 
-def verified(df: DataFrame, text: str, grouped: DataFrame) -> DataFrame:
-    """Links of the classes in ``grouped`` (c, t, size, g, m, block), on the shingles of their texts in ``df``."""
-    texts = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def verified(df: DataFrame, doc_id: str, text: str, grouped: DataFrame) -> DataFrame:
+    """Links of the classes in ``grouped`` (c, t, copy_of, size, g, m, block), on the shingles of their texts in ``df``.
+
+    Rows meet by id and text, so that copies of a frequent text go to many tasks and
+    only the one that stands for its class stays.
+    """
+    key = ["t", "own", "no_id"]
+    own = lambda d: [F.coalesce(d, F.lit(0).cast("long")).alias("own"), d.isNull().alias("no_id")]
+    texts = df.select(*own(F.col(doc_id).cast("long")), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("t", F.unhex(F.md5(F.col("text").cast("binary"))))
-    rows = texts.join(grouped.select("t", "c", "size", "g", "m", "block"), "t").dropDuplicates(["t"]).drop("t")
+    wanted = grouped.select("t", *own(F.col("copy_of")), "c", "size", "g", "m", "block")
+    rows = texts.join(wanted, key).dropDuplicates(key).drop(*key)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,20 +266,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     whose shingles have a Jaccard similarity of 0.8 or more with the row's, copies
     included.  ``component`` is a number for ``class_id`` that repeated ids cannot
     confuse.  A null or empty text, or one of blanks only, has no shingles, is linked
-    to nothing and has no component.  Repeated rows are copies of each other.  A null id is never
+    to nothing and has no component.  An empty table gives an empty one.  Repeated rows are copies of each other.  A null id is never
     the least one, unless there is no other.  Other columns are left out.
     """
     rows = written(signed(df, doc_id, text), "signed")
+    least = F.min(F.struct(F.col("d").isNull(), "d", "t"))
     classes = rows.filter("n > 0").groupBy("s").agg(
-        F.first("t").alias("t"), F.first("n").alias("n"), F.count("*").alias("size"),
-        F.first("bands").alias("bands"), F.min("d").alias("copy_of"),
-    )
+        least.alias("least"), F.first("n").alias("n"), F.count("*").alias("size"), F.first("bands").alias("bands"),
+    ).select("s", "least.t", "n", "size", "bands", F.col("least.d").alias("copy_of"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     grouping = components(candidate_edges(classes))
     roots = grouping.select(F.col("root").alias("c"), F.col("root").alias("g")).distinct()
     groups = grouping.select(F.col("node").alias("c"), F.col("root").alias("g")).unionByName(roots)
-    grouped = blocks(groups.join(classes.select("c", "t", "n", "size"), "c"))
-    found = written(verified(df, text, grouped), "links")
+    grouped = blocks(groups.join(classes.select("c", "t", "copy_of", "n", "size"), "c"))
+    found = written(verified(df, doc_id, text, grouped), "links")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     final = components(found.select(F.col("c").alias("a"), F.col("label").alias("b")))
     named = (
