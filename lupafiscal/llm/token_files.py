@@ -14,7 +14,8 @@ checksum mask rotates by 15 bits and adds a constant, so that a checksum stored
 inside checksummed data does not weaken it.
 
 Files are written by Spark's own writer, in ascending document order, so tasks
-may be lost and repeated.  The index has a row per record (file, offset, length,
+may be lost and repeated.  They are bounded by bytes and by records: a task's
+``FILE_BYTES`` go to a folder ``chunk=N`` of their own.  The index has a row per record (file, offset, length,
 document, tokens before it), so that a loader can read records in any order.
 """
 
@@ -34,6 +35,8 @@ from lupafiscal.llm.tables import map_arrow
 
 MASK_DELTA = 0xA282EAD8
 RECORDS_PER_FILE = 16_384
+# A file is read as a whole by one task; a longer record is a file of its own.
+FILE_BYTES = 64 << 20
 _HEAD = struct.Struct("<QI")
 _DOCUMENT = struct.Struct("<Bq")
 _CRC = struct.Struct("<I")
@@ -80,22 +83,25 @@ def width(path: str, end_id: int) -> int:
 def write(
     df: DataFrame, folder: str, path: str, end_id: int,
     doc_id: str = "doc_id", text: str = "text", records_per_file: int = RECORDS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write each row's token ids and ``end_id`` to framed files in ``folder``.
 
     Rows go by ascending document id, nulls first; rows with the same id are all
-    written, in the order of their texts' hashes.  A null text counts as empty.
+    written, in the order of their texts' hashes, by several tasks if they are many.
+    A null text counts as empty; an empty table leaves no files.
     Texts are ordered before they are encoded, so the sampling for the order
     never encodes anything.  Other columns are left out.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
-    rows = rows.withColumn("tie", F.xxhash64("t"))
-    rows = rows.repartitionByRange("d", "tie").sortWithinPartitions("d", "tie", "t").drop("tie")
+    rows = rows.withColumn("tie", F.xxhash64("t")).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("d", "tie", "place").sortWithinPartitions("d", "tie", "t").drop("tie", "place")
     kind = np.uint16 if width(path, end_id) == 2 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.library_encoder(path)
         last = np.array([end_id], kind).tobytes()
+        place, chunk, filled = 0, 0, 0
         for batch in batches:
             ids = batch.column("d").to_pylist()
             for texts in words.slices(batch.column("t")):
@@ -105,12 +111,26 @@ def write(
                 framed = [
                     frame(d, content[a:b] + last) for d, a, b in zip(own, limits, limits[1:], strict=False)
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
+                chunks = []
+                for record in framed:
+                    if filled and filled + len(record) + 1 > file_bytes:
+                        chunk, filled = chunk + 1, 0
+                    filled += len(record) + 1
+                    chunks.append(chunk)
+                places = np.arange(place, place + len(framed))
+                place += len(framed)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(framed, pa.binary()), pa.array(chunks, pa.int32()), pa.array(places, pa.int64())],
+                    ["record", "chunk", "place"],
+                )
 
+    # The rows are in this order already; the writer has to know it.
     (
-        map_arrow(rows, run, "record binary")
-        .select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", TERMINATOR.decode())
+        map_arrow(rows, run, "record binary, chunk int, place long")
+        .sortWithinPartitions("chunk", "place")
+        .select(F.col("record").cast("string").alias("value"), "chunk")
+        .write.partitionBy("chunk")
+        .option("lineSep", TERMINATOR.decode())
         .option("maxRecordsPerFile", records_per_file)
         .text(folder)
     )
@@ -183,6 +203,6 @@ def read_records(spark: SparkSession, index: DataFrame, path: str, end_id: int)
     folder = index.select("path").limit(1).collect()
     if not folder:
         return spark.createDataFrame([], "doc_id long, ids array<int>")
-    files = spark.read.format("binaryFile").load(folder[0].path.rpartition("/")[0]).select("path", "content")
+    files = spark.read.format("binaryFile").load(folder[0].path.rpartition("/chunk=")[0]).select("path", "content")
     placed = files.join(wanted, "path").select("content", "places")
     return map_arrow(placed, run, "doc_id long, ids array<int>")

@@ -10,9 +10,9 @@ from lupafiscal.session import new_run_folder
 from tests.llm import cases
 
 
-def written(spark, rows, per_file=3):
+def written(spark, rows, per_file=3, file_bytes=token_files.FILE_BYTES):
     folder = new_run_folder(spark, "tokens")
-    token_files.write(cases.documents(spark, rows), folder, cases.PATH, 2, records_per_file=per_file)
+    token_files.write(cases.documents(spark, rows), folder, cases.PATH, 2, records_per_file=per_file, file_bytes=file_bytes)
     return folder, token_files.write_index(spark, folder, new_run_folder(spark, "index"), cases.PATH, 2)
 
 
@@ -49,6 +49,33 @@ def test_records_are_read_by_their_places(spark):
     assert got == {d: [*library.encode(texts[d], add_special_tokens=False).ids, 2] for d in (77, 4)}
 
 
+def test_files_are_bounded_by_bytes(spark):
+    rows = [(i, cases.prose(i, 50 + 40 * (i % 7))) for i in range(120)] + [(500, cases.prose(9, 20_000))]
+    _, index = written(spark, rows, per_file=1000, file_bytes=2000)
+    sizes = {}
+    for r in index.collect():
+        sizes.setdefault(r.path, []).append(r.length)
+    assert all(sum(own) <= 2000 or len(own) == 1 for own in sizes.values())
+    assert any(len(own) > 1 for own in sizes.values())
+    found = token_files.with_starts(index).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [d for d, _ in rows]
+    assert [r.start for r in found] == [sum(x.n_tokens for x in found[:i]) for i in range(len(found))]
+
+
+def test_a_repeated_row_is_written_by_several_tasks(spark):
+    rows = [(5, "the same row")] * 4000 + [(i, f"row {i}") for i in range(10)]
+    joining = "spark.sql.adaptive.coalescePartitions.enabled"  # of partitions as small as these
+    spark.conf.set(joining, "false")
+    try:
+        _, index = written(spark, rows, per_file=100_000)
+    finally:
+        spark.conf.unset(joining)
+    tasks = {r.path.rpartition("/")[2].split("-")[1] for r in index.filter("doc_id = 5").select("path").collect()}
+    assert len(tasks) > 1
+    found = token_files.with_starts(index).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(d for d, _ in rows)
+
+
 def test_damage_is_noticed():
     content = token_files.frame(5, b"\x01\x00\x02\x00") + token_files.TERMINATOR
     assert [(o, d, bytes(p)) for o, _, d, p in token_files.records(content)] == [(0, 5, b"\x01\x00\x02\x00")]
