@@ -15,7 +15,7 @@ further blocks are further passes over the same rows.  Words are told apart by
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lupafiscal.llm import words
-from lupafiscal.llm.tables import keeping, map_arrow
+from lupafiscal.llm.tables import keeping, map_arrow, written
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -272,18 +272,21 @@ def _found(phrases: Phrases, column: pa.Array, found: list[tuple[list, list]]) -
     return out
 
 
-def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Phrases]:
-    """The benchmark's phrases in blocks of about ``BLOCK_BYTES`` of text, one at least.
+def phrase_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[int, Callable[[int], Phrases]]:
+    """How many blocks of about ``BLOCK_BYTES`` of text the benchmark has, one at least, and what gives the phrases of one.
 
-    A null id counts as the empty string; items of one id are one item.
+    A null id counts as the empty string; items of one id are one item.  Only the
+    block asked for comes to the driver.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    return [
-        Phrases([(row.i or "", row.t) for row in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()])
-        for b in range(blocks)
-    ]
+
+    def phrases(block: int) -> Phrases:
+        own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+        return Phrases([(row.i or "", row.t) for row in own.collect()])
+
+    return blocks, phrases
 
 
 def find(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -301,8 +304,11 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[st
     state = StructType.fromDDL(STATE)
     schema = StructType([*fields, StructField("t", StringType()), *state.fields])
     rows = df.select(*columns, F.col(text).cast("string").alias("t"))
-    for i, phrases in enumerate(phrase_blocks(benchmark)):
-        rows = map_arrow(rows, _pass(phrases, len(names), first=i == 0), schema)
+    blocks, phrases = phrase_blocks(benchmark)
+    for block in range(blocks):
+        rows = map_arrow(rows, _pass(phrases(block), len(names), first=block == 0), schema)
+        if block < blocks - 1:
+            rows = written(rows, "decontamination")
     return rows.drop("t").toDF(*names, *state.fieldNames())
 
 
