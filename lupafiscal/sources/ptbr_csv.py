@@ -6,13 +6,14 @@ with its header line.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lupafiscal.audit import Audit
 from lupafiscal.functions.money import from_ptbr, is_bad_money, to_ptbr, try_ptbr
 from lupafiscal.schemas import SCHEMAS
+from lupafiscal.sources.records import records
 
 BOM = "\ufeff"
 ISO_DATE = "yyyy-MM-dd"
@@ -35,7 +36,7 @@ def read_text(spark: SparkSession, path: str, schema: T.StructType, line_breaks:
 
     Files may have the columns in any one order and a byte order mark; a file whose header
     differs from the first one's, or that lacks a column, raises.  ``line_breaks``: fields
-    may hold some, so a file is read by one task.
+    may hold some; a file is still read by many tasks, at the price of a shuffle by block.
     """
     written = _header(spark, path)
     plain = {name.removeprefix(BOM): name for name in written}
@@ -43,14 +44,24 @@ def read_text(spark: SparkSession, path: str, schema: T.StructType, line_breaks:
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)}")
     text = T.StructType([T.StructField(name, T.StringType()) for name in written])
+    if line_breaks:
+        return _records_as_rows(records(spark, path), text).select(
+            [F.col("fields").getField(plain[f.name]).alias(f.name) for f in schema])
     rows = spark.read.csv(
         path, schema=text, sep=";", header=True, encoding="UTF-8", quote='"', escape='"', mode="FAILFAST",
         enforceSchema=False, nullValue=NO_TEXT, emptyValue="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False, multiLine=line_breaks,
+        ignoreTrailingWhiteSpace=False,
     )
     return rows.select([F.col(f"`{plain[f.name]}`").alias(f.name) for f in schema])
 
 
+def _records_as_rows(found: DataFrame, text: T.StructType) -> DataFrame:
+    """``fields`` of each record but the headers; one that doesn't fit the header raises."""
+    options = SEPARATED | {"mode": "FAILFAST", "multiLine": "true"}
+    is_header = _is_header((F.col("bloco") == 0) & (F.col("r") == 1), text.names)
+    return found.filter(~is_header).select(F.from_csv("texto", _ddl(text), options).alias("fields"))
+
+
 def read(spark: SparkSession, path: str, schema: T.StructType, date_format: str = ISO_DATE,
          line_breaks: bool = False) -> DataFrame:
     """Typed columns; a number or date that cannot be read raises."""
@@ -132,6 +143,14 @@ BAD_LINE = "_linha_ruim"
 HEADER = "CABECALHO"
 
 
+def _is_header(first: Column, written: list[str]) -> Column:
+    """Whether a text is its file's header; raises if the first one has other names."""
+    names = F.split(F.regexp_replace(F.regexp_replace("texto", f"^{BOM}", ""), '"', ""), ";")
+    expected = F.array(*[F.lit(name.removeprefix(BOM)) for name in written])
+    other = F.raise_error(F.concat("arquivo", F.lit(": another header"))).cast("boolean")
+    return F.when(first, F.when(names == expected, F.lit(True)).otherwise(other)).otherwise(F.lit(False))
+
+
 def read_apart(spark: SparkSession, path: str, schema: T.StructType,
                date_format: str = ISO_DATE) -> tuple[DataFrame, DataFrame]:
     """The rows that can be read, typed as ``read`` does, and the lines that cannot.
@@ -153,11 +172,7 @@ def read_apart(spark: SparkSession, path: str, schema: T.StructType,
     # Lines are numbered as a task reads them; the first of each block is known from a count of one row a block.
     starts = lines.groupBy("arquivo", "bloco").agg(F.min("place").alias("first"))
     lines = lines.join(starts, ["arquivo", "bloco"]).withColumn("linha", F.col("place") - F.col("first"))
-    header = (F.col("bloco") == 0) & (F.col("linha") == 0)
-    names = F.split(F.regexp_replace(F.regexp_replace("texto", f"^{BOM}", ""), '"', ""), ";")
-    expected = F.array(*[F.lit(name.removeprefix(BOM)) for name in written])
-    other = F.raise_error(F.concat("arquivo", F.lit(": another header"))).cast("boolean")
-    is_header = F.when(header, F.when(names == expected, F.lit(True)).otherwise(other)).otherwise(F.lit(False))
+    is_header = _is_header((F.col("bloco") == 0) & (F.col("linha") == 0), written)
     fields = T.StructType([*[T.StructField(name, T.StringType()) for name in written], T.StructField(BAD_LINE, T.StringType())])
     options = SEPARATED | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
     parsed = lines.filter(F.col("texto") != "").withColumn("fields", F.from_csv("texto", _ddl(fields), options))
