@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import session
 from lupafiscal.audit import Audit
 from lupafiscal.operators.registry import check
 from lupafiscal.operators.report import REPORT, irregularity_report
@@ -57,10 +58,13 @@ def source_scan(a: Audit) -> DataFrame:
 
 @check("m06_key_slices")
 def key_slices(a: Audit) -> DataFrame:
-    """Each table cut into even ranges of its primary key, with the rows of each range."""
+    """Each table cut into even ranges of its primary key, with the rows of each range.
+
+    Keys are counted, sampled and placed; they are written once, so that the table is read once.
+    """
     def of(name: str) -> DataFrame:
         key = PRIMARY_KEYS[name]
-        rows = a.table(name, key)
+        rows = session.written(a.table(name, key), f"{name}-keys")
         return slices.sizes(rows, slices.balanced(rows, key, KEY_SLICES)).withColumn("tabela", F.lit(name))
 
     return reduce(DataFrame.unionByName, [of(name) for name in SCHEMAS])
