@@ -13,7 +13,7 @@ from lupafiscal.audit import Audit
 from lupafiscal.functions.money import DIFFERENCE, TOTAL, total
 from lupafiscal.operators import invoices, volumes
 from lupafiscal.operators.registry import check
-from lupafiscal.plans import facts
+from lupafiscal.plans import facts, store
 from lupafiscal.plans.facts import COUNT, FLAG
 from lupafiscal.schemas import MONEY
 
@@ -226,9 +226,20 @@ def _day_figures(a: Audit) -> DataFrame:
     )
 
 
+# What the parts of the summary read more than once.
+READ_OFTEN = {
+    "contrato": ("id_contrato", "valor", "data", "objeto", "id_entidade", "id_fornecedor"),
+    "empenho": ("id_empenho", "data_empenho", "id_contrato", "valor"),
+    "pagamento": ("id_pagamento", "id_empenho", "datapagamentoemp", "valor"),
+    "liquidacao_nota_fiscal": ("id_liq_empnf", "chave_danfe", "data_emissao", "valor", "id_empenho"),
+    "nfe_pagamento": ("id", "chave_nfe", "tipo_pagamento", "valor_pagamento"),
+}
+
+
 @check("s01_audit_summary")
 def audit_summary(a: Audit) -> DataFrame:
     """The headline figures as rows (metrica, valor); each part ends in one row."""
+    a = store.with_tables_once(a, READ_OFTEN)
     backed = invoices.modus_operandi(a).agg(
         F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
 

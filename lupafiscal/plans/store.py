@@ -8,9 +8,12 @@ liquidations per commitment, so that checks at that grain scan neither.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lupafiscal import session
 from lupafiscal.audit import Audit
 from lupafiscal.plans import facts
 
@@ -71,3 +74,23 @@ def write_facts(a: Audit, root: str) -> None:
 def with_stored_facts(a: Audit, root: str) -> Audit:
     paid = with_stored_fact(a, f"{root.rstrip('/')}/payments")
     return with_stored_commitments(paid, f"{root.rstrip('/')}/commitments")
+
+
+def with_tables_once(a: Audit, columns: dict[str, tuple[str, ...]]) -> Audit:
+    """The audit with these columns of its tables in the shared folder, each written when it is first read.
+
+    For jobs that read a table in many parts: its source is read once.  Tables laid out by
+    commitment stay where they lie, as the copies would lose that.
+    """
+    if a.colocated:
+        return a
+    kept: dict[str, DataFrame] = {}
+
+    def read(name: str, wanted: tuple[str, ...]) -> DataFrame:
+        if not wanted or not set(wanted) <= set(columns.get(name, ())):
+            return a.reader(name, wanted)
+        if name not in kept:
+            kept[name] = session.written(a.reader(name, columns[name]), name)
+        return kept[name].select(*wanted)
+
+    return replace(a, reader=read)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from lupafiscal import Audit, run
+from lupafiscal.plans import store
 from lupafiscal.schemas import SCHEMAS
 from tests import tables
 
@@ -23,3 +24,18 @@ def test_key_slices_read_each_table_once(spark, tmp_path, make):
     assert not [f for f in result.inputFiles() if str(tmp_path) in f]  # counted from the written keys
     totals = result.groupBy("tabela").sum("linhas").collect()
     assert {r[0]: r[1] for r in totals} == {name: len(rows[name]) for name in SCHEMAS}
+
+
+def test_the_summary_reads_large_tables_once(spark, tmp_path):
+    audit = read_by_files(spark, str(tmp_path), tables.hand_made())
+    asked = []
+    counting = Audit(spark, lambda name, columns: asked.append(name) or audit.reader(name, columns))
+    found = run("s01_audit_summary", counting)
+    for name in ("contrato", "empenho", "pagamento", "liquidacao_nota_fiscal", "nfe_pagamento"):
+        assert asked.count(name) == 1
+    assert tables.rows_of(found) == tables.rows_of_sql(tables.database(tables.hand_made()), "s01_audit_summary")
+
+
+def test_tables_laid_out_by_commitment_stay(spark):
+    audit = Audit(spark, lambda name, columns: None, colocated=True)
+    assert store.with_tables_once(audit, {"empenho": ("id_empenho",)}) is audit
