@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lupafiscal import session
 from lupafiscal.audit import Audit
 
 MONEY = "decimal(15,2)"
@@ -205,5 +206,10 @@ class Mapping:
         ).join(p, "id").select("id", "chave_nfe", "tipo_pagamento", "valor_pagamento")
 
 
+BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+
+
 def open_audit(spark: SparkSession, sf_dir: str) -> Audit:
+    """Also fits the session's scan tasks and shuffle partitions to what is stored, as the command line does."""
+    session.bound_tasks(spark, sum(session.stored_bytes(spark, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in BASE))
     return Audit(spark, Mapping(spark, sf_dir).read)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
-from lupafiscal import Audit, run
+from driverdata import mapping
+from lupafiscal import Audit, run, session
 from lupafiscal.plans import store
 from lupafiscal.schemas import SCHEMAS
 from tests import tables
 
+INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SPLIT = "spark.sql.files.maxPartitionBytes"
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
 
 def read_by_files(spark, root: str, rows: dict) -> Audit:
     source = tables.audit(spark, rows)
@@ -39,3 +46,22 @@ def test_the_summary_reads_large_tables_once(spark, tmp_path):
 def test_tables_laid_out_by_commitment_stay(spark):
     audit = Audit(spark, lambda name, columns: None, colocated=True)
     assert store.with_tables_once(audit, {"empenho": ("id_empenho",)}) is audit
+
+
+def test_an_opened_audit_bounds_its_tasks(spark, tmp_path, settings, monkeypatch):
+    for name in mapping.BASE:
+        spark.range(100).write.parquet(f"{tmp_path}/{name}.parquet")
+    stored = sum(session.stored_bytes(spark, f"{tmp_path}/{name}.parquet") for name in mapping.BASE)
+    settings({INITIAL: "3", SPLIT: "128m", ADVISORY: "64MB"})
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 64)
+    mapping.open_audit(spark, str(tmp_path))
+    assert int(spark.conf.get(INITIAL)) == math.ceil(stored / 64)
+    assert int(spark.conf.get(SPLIT).rstrip("b")) == int(spark.conf.get(ADVISORY).rstrip("b")) == session.SCAN_BYTES
+
+
+def test_finer_settings_stay(spark, settings):
+    settings({INITIAL: "300", SPLIT: "1m", ADVISORY: "16k"})
+    session.bound_tasks(spark, 1 << 30)
+    assert [spark.conf.get(key) for key in (INITIAL, SPLIT, ADVISORY)] == ["300", "1m", "16k"]
+    session.bound_tasks(spark, 1 << 50)  # beyond the most partitions, tasks grow
+    assert spark.conf.get(INITIAL) == str(session.MOST_PARTITIONS)
