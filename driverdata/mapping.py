@@ -132,18 +132,18 @@ class Mapping:
             F.col("o_orderkey").alias("id_contrato"),
         )
 
-    def pagamento(self, _: tuple[str, ...] = ()) -> DataFrame:
+    def _paid_lines(self) -> DataFrame:
         lines = self.base("lineitem").filter("l_orderkey % 50 <> 0 and l_orderkey % 101 <> 0")
-        return (
-            lines.groupBy("l_orderkey", "l_linenumber")
-            .agg(F.max("l_shipdate").cast("date").alias("datapagamentoemp"),
-                 F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("valor"))
-            .select(
-                _payment_id("l_orderkey", "l_linenumber").alias("id_pagamento"),
-                _commitment_id("l_orderkey").alias("id_empenho"),
-                "datapagamentoemp",
-                "valor",
-            )
+        return lines.groupBy("l_orderkey", "l_linenumber").agg(
+            F.max("l_shipdate").cast("date").alias("datapagamentoemp"),
+            F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("valor"))
+
+    def pagamento(self, _: tuple[str, ...] = ()) -> DataFrame:
+        return self._paid_lines().select(
+            _payment_id("l_orderkey", "l_linenumber").alias("id_pagamento"),
+            _commitment_id("l_orderkey").alias("id_empenho"),
+            "datapagamentoemp",
+            "valor",
         )
 
     def liquidacao(self, _: tuple[str, ...] = ()) -> DataFrame:
@@ -192,18 +192,17 @@ class Mapping:
         orders = self.base("orders").filter(
             "o_orderstatus = 'F' or (o_orderstatus = 'P' and o_orderkey % 7 = 0)").select("o_orderkey")
         last = self.base("lineitem").groupBy("l_orderkey", "l_returnflag").agg(
-            F.max("l_linenumber").alias("line"))
-        links = last.join(orders, last.l_orderkey == orders.o_orderkey).select(
-            _payment_id("l_orderkey", "line").alias("id"),
-            _invoice_key(_invoice_number()).alias("chave_nfe"),
-            kind.alias("tipo_pagamento"),
+            F.max("l_linenumber").alias("l_linenumber"))
+        links = last.join(orders, last.l_orderkey == orders.o_orderkey).groupBy("l_orderkey", "l_linenumber").agg(
+            F.min(_invoice_key(_invoice_number())).alias("chave_nfe"),
+            F.min(kind).alias("tipo_pagamento"))
+        # numbers, by which both sides are grouped already, stand for the payment
+        return links.join(self._paid_lines(), ["l_orderkey", "l_linenumber"]).select(
+            _payment_id("l_orderkey", "l_linenumber").alias("id"),
+            "chave_nfe",
+            "tipo_pagamento",
+            F.col("valor").alias("valor_pagamento"),
         )
-        p = self.pagamento().select(F.col("id_pagamento").alias("id"),
-                                    F.col("valor").alias("valor_pagamento"))
-        return links.groupBy("id").agg(
-            F.min("chave_nfe").alias("chave_nfe"),
-            F.min("tipo_pagamento").alias("tipo_pagamento"),
-        ).join(p, "id").select("id", "chave_nfe", "tipo_pagamento", "valor_pagamento")
 
 
 BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from driverdata import mapping
 from lupafiscal import Audit, run, session
@@ -65,3 +67,19 @@ def test_finer_settings_stay(spark, settings):
     assert [spark.conf.get(key) for key in (INITIAL, SPLIT, ADVISORY)] == ["300", "1m", "16k"]
     session.bound_tasks(spark, 1 << 50)  # beyond the most partitions, tasks grow
     assert spark.conf.get(INITIAL) == str(session.MOST_PARTITIONS)
+
+
+def test_invoice_payments_meet_their_payments_as_grouped(spark, tmp_path, settings):
+    """Texts made of order and line are not shuffled again."""
+    settings({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+    lines = [(1, 1, "A", 10.0), (1, 2, "A", 20.0), (1, 3, "N", 30.0), (1, 3, "N", 5.0), (50, 1, "A", 1.0), (None, 1, "A", 1.0),
+             (2, None, "A", 1.0), (3, 1, None, 2.5), (4, 1, "R", 4.0)]
+    rows = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_extendedprice double")
+    rows.withColumn("l_shipdate", F.lit("1995-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.createDataFrame([(1, "F"), (2, "F"), (3, "F"), (4, "O"), (50, "F")], "o_orderkey long, o_orderstatus string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = mapping.Mapping(spark, str(tmp_path)).nfe_pagamento()
+    assert sorted((r.id, r.chave_nfe[-2:], r.tipo_pagamento, float(r.valor_pagamento)) for r in found.collect()) == [
+        ("PGT-1-2", "03", "PIX", 20.0), ("PGT-1-3", "04", "PIX", 35.0), ("PGT-3-1", "11", "CHEQUE", 2.5)]
+    text = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Exchange hashpartitioning(l_orderkey" in text and not re.search(r"Exchange hashpartitioning\(id", text)
