@@ -128,10 +128,14 @@ def signed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Each class (c) with the least class of every band bucket it shares."""
+    """Each class (c) with the least class of every band bucket it shares.
+
+    Spark takes an exploded row for a small part of its array's bytes, so a side that is
+    ``BANDS`` rows a class would be broadcast by that size: it is merged instead.
+    """
     rows = classes.select("c", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("c").alias("b"), F.count("*").alias("size")).filter("size > 1")
-    return rows.join(buckets.select("band", "b"), "band").filter("c <> b").select(F.col("c").alias("a"), "b").distinct()
+    return rows.hint("merge").join(buckets.select("band", "b"), "band").filter("c <> b").select(F.col("c").alias("a"), "b").distinct()
 
 
 def blocks(groups: DataFrame) -> DataFrame:
