@@ -59,7 +59,7 @@ def test_best_classes_as_by_gains():
 def test_contexts_add_up_over_batches(spark, settings, monkeypatch):
     """A word's rows may lie in several batches, and it may follow itself."""
     settings({"spark.sql.execution.arrow.maxRecordsPerBatch": "7"})
-    monkeypatch.setattr(words, "SLICE_BYTES", 64)
+    monkeypatch.setattr(class_model, "CONTEXT_BYTES", 64)
     data = [(i, cases.prose(i, 80, vocabulary=30) + " w1 w1 w1") for i in range(60)] + [(90, None), (91, "alone")]
     rows = class_model.prepared(cases.documents(spark, data))
     monkeypatch.setattr(class_model, "UNIT_SHARE", 2**-5)
