@@ -18,7 +18,8 @@ class Audit:
     ``payment_fact`` is what ``plans.store.write_payment_fact`` wrote; with it
     the payment checks scan one table instead of joining four.  ``commitment_fact``
     is likewise what ``write_commitment_fact`` wrote: payments and liquidations
-    summed per commitment.  ``report`` is
+    summed per commitment.  ``sums_paid`` and ``sums_delivered`` are ``facts.paid_totals`` and
+    ``facts.liquidation_totals``, already written.  ``report`` is
     the folder ``operators.exchange.write_report`` wrote, for the checks that
     read it back.  ``as_delivered`` reads a table with the types its source has,
     for the checks of what does not fit.  ``colocated``: commitments, payments and
@@ -29,6 +30,8 @@ class Audit:
     reader: TableReader
     payment_fact: DataFrame | None = None
     commitment_fact: DataFrame | None = None
+    sums_paid: DataFrame | None = None
+    sums_delivered: DataFrame | None = None
     report: str | None = None
     as_delivered: TableReader | None = None
     colocated: bool = False

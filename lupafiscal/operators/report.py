@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lupafiscal import labels
+from lupafiscal import labels, session
 from lupafiscal.audit import Audit
 from lupafiscal.functions.money import DIFFERENCE, TOTAL, total
 from lupafiscal.operators import invoices, volumes
@@ -150,14 +150,38 @@ def _commitment_figures(a: Audit) -> DataFrame:
     )
 
 
+def _payments(a: Audit) -> DataFrame:
+    """Payments with what the figures need of their commitment, which is written first: its joins' shuffles are then gone."""
+    if a.payment_fact is not None or a.colocated:
+        return facts.payments(a, contract="left", liquidation=FLAG)
+    side = facts.commitments(a, contract="left", liquidation=FLAG).drop("objeto", "id_contrato")
+    return facts.by_commitment(a, facts.payment_rows(a), session.written(side, "commitments"))
+
+
+def _flagged(a: Audit, rows: DataFrame) -> DataFrame:
+    """``facts.with_invoice_flags`` where a payment has no liquidation; nothing asks the others for them.
+
+    So only payments without one, the few, are moved by payment.  Invoice payments that share a
+    payment repeat the others as well; these are looked up in a table of such payments alone.
+    """
+    if "tem_registro_nfe" in rows.columns:
+        return rows
+    links = a.table("nfe_pagamento", "id").withColumnRenamed("id", "id_pagamento")
+    shared = links.groupBy("id_pagamento").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = session.written(repeated(shared, F.col("n")).select("id_pagamento"), "shared")
+    without = facts.with_invoice_flags(a, rows.filter(~F.col("tem_liquidacao")))
+    liquidated = rows.filter("tem_liquidacao").join(shared, "id_pagamento", "left")
+    no = F.lit(False)
+    return without.unionByName(liquidated.withColumn("tem_registro_nfe", no).withColumn("tem_nfe_pagamento", no))
+
+
 def _payment_figures(a: Audit) -> DataFrame:
     """One pass over the payments, for all figures that need no liquidation date.
 
     Summed per commitment first; whether its body and supplier are known, which
     the lists of problems and of open commitments ask, is looked up after that.
     """
-    rows = facts.payments(a, contract="left", liquidation=FLAG)
-    rows = facts.with_invoice_flags(a, rows)
+    rows = _flagged(a, _payments(a))
     over, early = facts.over_contract(), facts.before_contract()
     unliquidated = ~F.col("tem_liquidacao")
     excess = F.col("valor_pago") - F.col("valor_contrato")
@@ -238,25 +262,32 @@ READ_OFTEN = {
 
 @check("s01_audit_summary")
 def audit_summary(a: Audit) -> DataFrame:
-    """The headline figures as rows (metrica, valor); each part ends in one row."""
-    a = store.with_tables_once(a, READ_OFTEN)
-    backed = invoices.modus_operandi(a).agg(
-        F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
+    """The headline figures as rows (metrica, valor); each part ends in one row.
+
+    One part runs after the other, so that no two have their shuffle files on disk at once.
+    """
+    a = store.with_sums_once(store.with_tables_once(a, READ_OFTEN))
 
     def size(rows: DataFrame) -> DataFrame:
         return rows.agg(F.count("*").alias("n"))
 
-    return reduce(DataFrame.unionByName, [
-        _commitment_figures(a),
-        _payment_figures(a),
-        _day_figures(a),
-        _metrics(volumes.total_contracts(a), contratos_registrados="total_contratos"),
-        _metrics(size(volumes.contracts_without_commitment(a)), contratos_sem_empenho="n"),
-        _metrics(volumes.total_suppliers(a), fornecedores_cadastrados="total_fornecedores"),
-        _metrics(size(invoices.invoice_divergence(a)), notas_com_valor_divergente="n"),
-        _metrics(size(invoices.paid_over_invoices(a)), empenhos_pagos_acima_das_notas="n"),
-        _metrics(backed, pagamentos_irregulares_com_nota="coalesce(n, 0)",
-                 volume_irregular_com_nota="coalesce(volume, 0)"),
-        _metrics(size(a.table("nfe_pagamento", "id")), registros_de_pagamento_de_nota="n"),
-        _metrics(size(invoices.orphan_invoice_payments(a)), pagamentos_de_nota_orfaos="n"),
-    ])
+    def backed() -> DataFrame:
+        figures = invoices.modus_operandi(a).agg(
+            F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
+        return _metrics(figures, pagamentos_irregulares_com_nota="coalesce(n, 0)",
+                        volume_irregular_com_nota="coalesce(volume, 0)")
+
+    parts = [
+        lambda: _commitment_figures(a),
+        lambda: _payment_figures(a),
+        lambda: _day_figures(a),
+        lambda: _metrics(volumes.total_contracts(a), contratos_registrados="total_contratos"),
+        lambda: _metrics(size(volumes.contracts_without_commitment(a)), contratos_sem_empenho="n"),
+        lambda: _metrics(volumes.total_suppliers(a), fornecedores_cadastrados="total_fornecedores"),
+        lambda: _metrics(size(invoices.invoice_divergence(a)), notas_com_valor_divergente="n"),
+        lambda: _metrics(size(invoices.paid_over_invoices(a)), empenhos_pagos_acima_das_notas="n"),
+        backed,
+        lambda: _metrics(size(a.table("nfe_pagamento", "id")), registros_de_pagamento_de_nota="n"),
+        lambda: _metrics(size(invoices.orphan_invoice_payments(a)), pagamentos_de_nota_orfaos="n"),
+    ]
+    return reduce(DataFrame.unionByName, [session.written(part(), "figures") for part in parts])

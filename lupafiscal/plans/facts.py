@@ -72,6 +72,8 @@ def liquidation_rows(a: Audit) -> DataFrame:
 def liquidated_keys(a: Audit) -> DataFrame:
     if a.commitment_fact is not None:
         return a.commitment_fact.filter("n_liquidacoes > 0").select("id_empenho")
+    if a.sums_delivered is not None:
+        return a.sums_delivered.filter(F.col("id_empenho").isNotNull()).select("id_empenho")
     return distinct_keys(a.table("liquidacao_nota_fiscal", "id_empenho"), "id_empenho")
 
 
@@ -97,6 +99,8 @@ def liquidation_totals(a: Audit) -> DataFrame:
     if a.commitment_fact is not None:
         return a.commitment_fact.filter("n_liquidacoes > 0").select(
             "id_empenho", "n_liquidacoes", "total_liquidado", "primeira_liquidacao")
+    if a.sums_delivered is not None:
+        return a.sums_delivered
     return liquidation_rows(a).groupBy("id_empenho").agg(
         F.count("*").alias("n_liquidacoes"),
         F.sum("valor_liquidado").alias("total_liquidado"),
@@ -118,6 +122,8 @@ def paid_totals(a: Audit) -> DataFrame:
     if a.commitment_fact is not None:
         return a.commitment_fact.filter("n_pagamentos > 0").select(
             "id_empenho", "n_pagamentos", "total_pago", "ultimo_pagamento")
+    if a.sums_paid is not None:
+        return a.sums_paid
     return payment_totals(payment_rows(a))
 
 

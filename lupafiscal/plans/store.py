@@ -94,3 +94,11 @@ def with_tables_once(a: Audit, columns: dict[str, tuple[str, ...]]) -> Audit:
         return kept[name].select(*wanted)
 
     return replace(a, reader=read)
+
+
+def with_sums_once(a: Audit) -> Audit:
+    """The audit with its sums of payments and of liquidations per commitment in the shared folder."""
+    if a.commitment_fact is not None or a.colocated:
+        return a
+    paid, delivered = facts.paid_totals(a), facts.liquidation_totals(a)
+    return replace(a, sums_paid=session.written(paid, "paid"), sums_delivered=session.written(delivered, "delivered"))
