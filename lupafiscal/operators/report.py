@@ -271,23 +271,23 @@ def audit_summary(a: Audit) -> DataFrame:
     def size(rows: DataFrame) -> DataFrame:
         return rows.agg(F.count("*").alias("n"))
 
-    def backed() -> DataFrame:
-        figures = invoices.modus_operandi(a).agg(
-            F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
-        return _metrics(figures, pagamentos_irregulares_com_nota="coalesce(n, 0)",
-                        volume_irregular_com_nota="coalesce(volume, 0)")
-
-    parts = [
-        lambda: _commitment_figures(a),
-        lambda: _payment_figures(a),
-        lambda: _day_figures(a),
-        lambda: _metrics(volumes.total_contracts(a), contratos_registrados="total_contratos"),
-        lambda: _metrics(size(volumes.contracts_without_commitment(a)), contratos_sem_empenho="n"),
-        lambda: _metrics(volumes.total_suppliers(a), fornecedores_cadastrados="total_fornecedores"),
-        lambda: _metrics(size(invoices.invoice_divergence(a)), notas_com_valor_divergente="n"),
-        lambda: _metrics(size(invoices.paid_over_invoices(a)), empenhos_pagos_acima_das_notas="n"),
-        backed,
-        lambda: _metrics(size(a.table("nfe_pagamento", "id")), registros_de_pagamento_de_nota="n"),
-        lambda: _metrics(size(invoices.orphan_invoice_payments(a)), pagamentos_de_nota_orfaos="n"),
-    ]
-    return reduce(DataFrame.unionByName, [session.written(part(), "figures") for part in parts])
+    def alone(part: DataFrame, fact: DataFrame | None = None) -> DataFrame:
+        """The part's rows, written; one of a stored fact, which has few shuffles, is left to the result."""
+        return session.written(part, "figures") if fact is None else part
+
+    backed = invoices.modus_operandi(a).agg(
+        F.sum("frequencia").alias("n"), F.sum("volume_financeiro_suspeito").alias("volume"))
+    return reduce(DataFrame.unionByName, [
+        alone(_commitment_figures(a), a.commitment_fact),
+        alone(_payment_figures(a), a.payment_fact),
+        alone(_day_figures(a)),
+        alone(_metrics(volumes.total_contracts(a), contratos_registrados="total_contratos")),
+        alone(_metrics(size(volumes.contracts_without_commitment(a)), contratos_sem_empenho="n")),
+        alone(_metrics(volumes.total_suppliers(a), fornecedores_cadastrados="total_fornecedores")),
+        alone(_metrics(size(invoices.invoice_divergence(a)), notas_com_valor_divergente="n")),
+        alone(_metrics(size(invoices.paid_over_invoices(a)), empenhos_pagos_acima_das_notas="n")),
+        alone(_metrics(backed, pagamentos_irregulares_com_nota="coalesce(n, 0)",
+                       volume_irregular_com_nota="coalesce(volume, 0)")),
+        alone(_metrics(size(a.table("nfe_pagamento", "id")), registros_de_pagamento_de_nota="n")),
+        alone(_metrics(size(invoices.orphan_invoice_payments(a)), pagamentos_de_nota_orfaos="n")),
+    ])
